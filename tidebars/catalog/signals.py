@@ -9,7 +9,7 @@ from tidebars.functions import indicators as ind
 from tidebars.functions.indicators import num
 from tidebars.operators import asof, pairs
 from tidebars.operators.panel import make_panel, number_bars
-from tidebars.operators.positions import positions
+from tidebars.operators.positions import named, positions
 from tidebars.operators.sar import sar_codes
 from tidebars.plans.families import REGISTRY
 from tidebars.session import materialize
@@ -504,8 +504,8 @@ def family_bars(spark, d, family: str):
 
 def _register(name: str, family: str) -> None:
     def run(spark, d):
-        pos = positions(family_bars(spark, d, family), [(family, p) for p in REGISTRY[family].combinations()])
-        return pos.select("family", "symbol", "params_key", "ts", F.col("target").cast("int").alias("target"))
+        want = [(family, p) for p in REGISTRY[family].combinations()]
+        return named(positions(family_bars(spark, d, family), want), want).select("family", "symbol", "params_key", "ts", F.col("target").cast("int").alias("target"))
 
     QUERIES[name] = lambda spark, d: rounded(run(spark, d))
     ORACLES[name] = with_ctes(f"SELECT family, symbol, params_key, ts, target FROM {name}_t", signal_ctes(family))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 COMMISSION_BPS = 0.5
 SECONDS_PER_YEAR = 365.25 * 86400
-CANDIDATE = ("family", "symbol", "params_key")
+CANDIDATE = ("symbol", "cand")
 
 
 def ledger(positions: DataFrame, commission_bps: float = COMMISSION_BPS) -> DataFrame:
@@ -58,14 +58,19 @@ def segments(
 ) -> DataFrame:
     """One row per position run and block, with everything later folds need.
 
-    ``series`` are the keys the bars are already partitioned by (with ``blk``).
+    ``series`` are the keys the bars are already partitioned by (with ``blk``). A run is
+    also cut where a bar loses 100 % or more, so that NAV keeps one sign inside a row.
     """
     key = list(dict.fromkeys([*series, "blk", *ckeys]))
     order = Window.partitionBy(*key).orderBy("bar_no")
     df = book.withColumn("opens", opens_run(window_start).cast("int"))
-    df = df.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ruin = F.lit(False)
+    for r in returns:
+        ruin = ruin | (F.col(f"{r}_return") <= -1)
+    cut = F.greatest(F.col("opens"), ruin.cast("int"))
+    df = df.withColumn("run", F.sum(cut).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     local = Window.partitionBy(*key, "run").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"nav_{r}": F.product(1 + F.col(f"{r}_return")).over(local) for r in returns})
+    df = df.withColumns({f"nav_{r}": F.abs(F.product(1 + F.col(f"{r}_return")).over(local)) for r in returns})
     df = df.withColumns({f"top_{r}": F.max(f"nav_{r}").over(local) for r in returns})
     aggs = [
         F.min("bar_no").alias("b0"),
@@ -87,7 +92,7 @@ def segments(
             F.product(1 + x).alias(f"growth_{r}"),
             F.max(f"nav_{r}").alias(f"high_{r}"),
             F.min(f"nav_{r}").alias(f"low_{r}"),
-            F.min(F.col(f"nav_{r}") / F.col(f"top_{r}")).alias(f"dip_{r}"),
+            F.min(F.col(f"nav_{r}") / F.nullif(F.col(f"top_{r}"), F.lit(0.0))).alias(f"dip_{r}"),
             F.avg(x).alias(f"mean_{r}"),
             (F.var_pop(x) * F.count(x)).alias(f"m2_{r}"),
             F.min(x).alias(f"worst_{r}"),
@@ -98,8 +103,8 @@ def segments(
 def runs(segs: DataFrame, ckeys: tuple[str, ...] = CANDIDATE, returns: tuple[str, ...] = ("gross", "net")) -> DataFrame:
     """Whole position runs of each candidate (flat ones included), joined across blocks.
 
-    Adds the lowest ratio of NAV to its running maximum seen in each run. The folding of
-    NAV levels assumes NAV stays positive, which holds while no bar loses 100 %.
+    Adds the lowest ratio of NAV to its running maximum seen in each run. While NAV is
+    negative it cannot raise a positive maximum, so the deepest point is its largest size.
     """
     w = Window.partitionBy(*ckeys).orderBy("b0")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +114,10 @@ def runs(segs: DataFrame, ckeys: tuple[str, ...] = CANDIDATE, returns: tuple[str
             **{f"base_{r}": F.coalesce(F.product(f"growth_{r}").over(before), F.lit(1.0)) for r in returns},
         }
     )
-    df = df.withColumns({f"peak_{r}": F.max(F.col(f"base_{r}") * F.col(f"high_{r}")).over(before) for r in returns})
+    size = {r: F.abs(f"base_{r}") for r in returns}
+    below = {r: F.col(f"base_{r}") * F.col(f"growth_{r}") < 0 for r in returns}
+    best = {r: F.when(below[r], -size[r] * F.col(f"low_{r}")).otherwise(size[r] * F.col(f"high_{r}")) for r in returns}
+    df = df.withColumns({f"peak_{r}": F.max(best[r]).over(before) for r in returns})
     aggs = [
         F.min("t0").alias("entry_timestamp"),
         F.max("t1").alias("exit_timestamp"),
@@ -125,10 +133,12 @@ def runs(segs: DataFrame, ckeys: tuple[str, ...] = CANDIDATE, returns: tuple[str
         F.sum("profit").alias("profit"),
     ]
     for r in returns:
-        low = F.col(f"base_{r}") * F.col(f"low_{r}") / F.col(f"peak_{r}")
+        peak = F.when(F.col(f"peak_{r}") > 0, F.col(f"peak_{r}"))
+        under = F.coalesce(-size[r] * F.col(f"high_{r}") / peak, F.lit(1.0))
+        lowest = F.when(below[r], under).otherwise(F.least(F.col(f"dip_{r}"), size[r] * F.col(f"low_{r}") / peak))
         aggs += [
             F.product(f"growth_{r}").alias(f"growth_{r}"),
-            F.min(F.least(F.col(f"dip_{r}"), low)).alias(f"dip_{r}"),
+            F.min(lowest).alias(f"dip_{r}"),
             F.sum(F.col("n") * F.col(f"mean_{r}")).alias(f"sum_{r}"),
             F.sum(F.col(f"m2_{r}") + F.col("n") * F.pow(F.col(f"mean_{r}"), F.lit(2))).alias(f"sq_{r}"),
             F.min(f"worst_{r}").alias(f"worst_{r}"),
@@ -260,17 +270,20 @@ def nav_and_drawdown(book: DataFrame, ckeys: tuple[str, ...] = CANDIDATE, series
     local = Window.partitionBy(*key).orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
     kinds = ("gross", "net")
     df = book.withColumns({f"_p_{r}": F.product(1 + F.col(f"{r}_return")).over(local) for r in kinds})
-    df = df.withColumns({f"_m_{r}": F.max(f"_p_{r}").over(local) for r in kinds})
+    df = df.withColumns({f"_m_{r}": F.max(f"_p_{r}").over(local) for r in kinds} | {f"_n_{r}": F.min(f"_p_{r}").over(local) for r in kinds})
     block = df.groupBy(*key).agg(
-        *[F.max_by(f"_p_{r}", "bar_no").alias(f"_g_{r}") for r in kinds], *[F.max(f"_p_{r}").alias(f"_h_{r}") for r in kinds]
+        *[F.max_by(f"_p_{r}", "bar_no").alias(f"_g_{r}") for r in kinds],
+        *[F.max(f"_p_{r}").alias(f"_h_{r}") for r in kinds],
+        *[F.min(f"_p_{r}").alias(f"_l_{r}") for r in kinds],
     )
     over = Window.partitionBy(*ckeys).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    lift = lambda b, high, low: F.when(F.col(b) >= 0, F.col(b) * F.col(high)).otherwise(F.col(b) * F.col(low))
     block = block.withColumns({f"_b_{r}": F.coalesce(F.product(f"_g_{r}").over(over), F.lit(1.0)) for r in kinds})
-    block = block.withColumns({f"_t_{r}": F.max(F.col(f"_b_{r}") * F.col(f"_h_{r}")).over(over) for r in kinds})
+    block = block.withColumns({f"_t_{r}": F.max(lift(f"_b_{r}", f"_h_{r}", f"_l_{r}")).over(over) for r in kinds})
     lifts = block.select(*key, *[f"_b_{r}" for r in kinds], *[f"_t_{r}" for r in kinds])
     out = df.join(lifts, key)
     for r in kinds:
         nav = F.col(f"_p_{r}") * F.col(f"_b_{r}")
-        top = F.greatest(F.col(f"_m_{r}") * F.col(f"_b_{r}"), F.col(f"_t_{r}"))
-        out = out.withColumns({f"{r}_nav": nav, f"{r}_drawdown": nav / top - 1})
-    return out.drop(*[f"_{x}_{r}" for x in "pmbt" for r in kinds])
+        top = F.greatest(lift(f"_b_{r}", f"_m_{r}", f"_n_{r}"), F.col(f"_t_{r}"))
+        out = out.withColumns({f"{r}_nav": nav, f"{r}_drawdown": nav / F.nullif(top, F.lit(0.0)) - 1})
+    return out.drop(*[f"_{x}_{r}" for x in "pmnbt" for r in kinds])

@@ -161,9 +161,10 @@ def positions(
 ) -> DataFrame:
     """Positions of every wanted (family, parameters) on every series of numbered bars.
 
-    Output: keys, ``blk``, ``family``, ``params_key``, the carried bar columns, ``target``
-    (this bar's signal), ``executed`` (held during this bar) and ``before`` (held during
-    the previous bar), all in {-1, 0, 1}.
+    Output: keys, ``blk``, ``cand`` (index into ``wanted``), the carried bar columns,
+    ``target`` (this bar's signal), ``executed`` (held during this bar) and ``before``
+    (held during the previous bar), all in {-1, 0, 1}. Names are added with ``named``
+    once rows are few: sorting and shuffling by a number is cheaper.
     """
     types = dict(numbered.dtypes)
     numbered = numbered.withColumns({k: F.coalesce(F.col(k), F.lit("" if types[k] == "string" else 0)) for k in keys})
@@ -173,35 +174,41 @@ def positions(
     halo = max(int(REGISTRY[f].lookback(p)) for f, p in wanted) + 2
     panel = make_panel(numbered, keys, halo, block_rows)
     levels, helds = [], []
-    for family, params in wanted:
+    for index, (family, params) in enumerate(wanted):
         spec = REGISTRY[family]
         panel = spec.prepare(panel, params)
         rule = spec.rule(params)
         if isinstance(rule, Held):
-            helds.append((family, params, held_code(rule)))
+            helds.append((index, held_code(rule)))
         elif isinstance(rule, Level):
-            levels.append((family, params, level_code(rule)))
-    level_names = [(f, p) for f, p, _ in levels] + sar
+            levels.append((index, level_code(rule)))
     parts = []
-    if level_names:
-        pieces = [code for *_, code in levels] + ([F.coalesce(F.col("sar_codes"), F.lit("1" * len(sar)))] if sar else [])
-        part = level_positions(panel.add(codes=F.concat(*pieces)), "codes", len(level_names), carry)
-        parts.append(_named(part, level_names))
+    if levels or sar:
+        indexes = [i for i, _ in levels] + [i for i, (f, _) in enumerate(wanted) if f == "trend_psar"]
+        pieces = [code for _, code in levels] + ([F.coalesce(F.col("sar_codes"), F.lit("1" * len(sar)))] if sar else [])
+        part = level_positions(panel.add(codes=F.concat(*pieces)), "codes", len(indexes), carry)
+        parts.append(_indexed(part, indexes))
     if helds:
-        rows = panel.settle().select(*keys, *carry, F.concat(*[code for *_, code in helds]).alias("codes"))
+        rows = panel.settle().select(*keys, *carry, F.concat(*[code for _, code in helds]).alias("codes"))
         part = held_positions(rows, keys, "codes", len(helds), carry)
-        parts.append(_named(part, [(f, p) for f, p, _ in helds]))
+        parts.append(_indexed(part, [i for i, _ in helds]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _named(df: DataFrame, names: list[tuple[str, Params]]) -> DataFrame:
-    families = F.array(*[F.lit(f) for f, _ in names])
-    labels = F.array(*[F.lit(REGISTRY[f].candidate_key(p)) for f, p in names])
-    pick = lambda arr: F.element_at(arr, F.col("pid") + 1)
-    return df.withColumns({"family": pick(families), "params_key": pick(labels)}).drop("pid")
+def _indexed(df: DataFrame, indexes: list[int]) -> DataFrame:
+    cand = F.col("pid") if indexes == list(range(len(indexes))) else F.element_at(F.array(*[F.lit(i) for i in indexes]), F.col("pid") + 1)
+    return df.withColumn("cand", cand).drop("pid")
+
+
+def named(df: DataFrame, wanted: list[tuple[str, Params]]) -> DataFrame:
+    """Replace the candidate index by its family and parameter key."""
+    families = F.array(*[F.lit(f) for f, _ in wanted])
+    labels = F.array(*[F.lit(REGISTRY[f].candidate_key(p)) for f, p in wanted])
+    pick = lambda arr: F.element_at(arr, F.col("cand") + 1)
+    return df.withColumns({"family": pick(families), "params_key": pick(labels)}).drop("cand")
 
 
 def candidate_id() -> Column:
