@@ -198,14 +198,6 @@ def append_events(spark, d):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("report_json")
-def report_json(spark, d):
-    path = shared_folder(spark, "report")
-    rows = quality.report(quality.all_flags(dirty(spark, d), quality.instruments(spark)))
-    store.write_reports(rows, path)
-    return spark.read.schema(rows.schema).json(path)
-
-
 # --- quality -------------------------------------------------------------------------
 cte(
     "dirty",
@@ -333,3 +325,11 @@ def dq_pipeline(spark, d):
 @query("market_summary", f"SELECT {REPORT_SELECT}, currency, exchange FROM dq_reports LEFT JOIN dimension USING (symbol)")
 def market_summary(spark, d):
     return quality.market_summary(dq_report(spark, d), quality.instruments(spark))
+
+
+@query("report_json", f"SELECT {REPORT_SELECT} FROM dq_reports")
+def report_json(spark, d):
+    path = shared_folder(spark, "report")
+    rows = quality.report(quality.all_flags(dirty(spark, d), quality.instruments(spark)))
+    store.write_reports(rows, path)
+    return spark.read.schema(rows.schema).json(path)
