@@ -81,7 +81,7 @@ def metrics_sql(nav: str, trades: str, keys: str = CKEY, prefix: str = "", retur
   CAST(coalesce(tn, 0) AS BIGINT) AS {p}trade_count, CAST(changes AS BIGINT) AS {p}position_change_count, sides AS {p}total_trading_sides,
   (longs + shorts) / n AS {p}average_absolute_exposure, longs / n AS {p}long_exposure_fraction, shorts / n AS {p}short_exposure_fraction,
   flats / n AS {p}flat_fraction, cost AS {p}total_transaction_cost, scost AS {p}total_spread_cost, ccost AS {p}total_commission_cost, {perf},
-  cost / (CASE WHEN profit > 0 THEN profit END) AS {p}cost_to_gross_profit_ratio, win AS {p}trade_win_rate, avg_t AS {p}average_net_trade_return,
+  cost / (CASE WHEN profit > 0 THEN profit END) AS {p}cost_to_gross_profit_ratio, won AS {p}trade_win_rate, avg_t AS {p}average_net_trade_return,
   med_t AS {p}median_net_trade_return, avg_h AS {p}average_holding_hours, max_h AS {p}maximum_holding_hours,
   1 + total_{last} AS {p}terminal_nav, worst AS {p}worst_bar_return
 FROM (SELECT *, CASE WHEN n >= 2 AND last_observation > first_observation THEN n / ((epoch(last_observation) - epoch(first_observation)) / 31557600.0) END AS ppy
@@ -90,7 +90,7 @@ FROM (SELECT *, CASE WHEN n >= 2 AND last_observation > first_observation THEN n
     CAST(count_if(executed = 0) AS DOUBLE) AS flats, sum(transaction_cost) AS cost, sum(spread_cost) AS scost, sum(commission_cost) AS ccost,
     sum(greatest(gross_return, 0)) AS profit, min({last}_return) AS worst, {stats}
   FROM {nav} GROUP BY {keys}))
-LEFT JOIN (SELECT {keys}, count(*) AS tn, avg(CASE WHEN net_trade_return > 0 THEN 1.0 ELSE 0.0 END) AS win, avg(net_trade_return) AS avg_t,
+LEFT JOIN (SELECT {keys}, count(*) AS tn, avg(CASE WHEN net_trade_return > 0 THEN 1.0 ELSE 0.0 END) AS won, avg(net_trade_return) AS avg_t,
     median(net_trade_return) AS med_t, avg(holding_hours) AS avg_h, max(holding_hours) AS max_h FROM {trades} GROUP BY {keys}) USING ({using})"""
 
 

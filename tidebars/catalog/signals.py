@@ -457,10 +457,11 @@ RULES = rule_table()
 FAMILY_QUERY = {family: name for name, (family, *_) in RULES.items()}
 
 
-def signal_ctes(family: str, params: list[dict] | None = None, name: str | None = None) -> dict[str, str]:
+def signal_ctes(family: str, params: list[dict] | None = None, name: str | None = None, from_sql: str | None = None) -> dict[str, str]:
     """Tables ending in ``<query name>_t``: symbol, ts, bar_no, params_key, target."""
     key = name or FAMILY_QUERY[family]
     _, source, ctes, rule = RULES[FAMILY_QUERY[family]]
+    source = from_sql or source
     spec = REGISTRY[family]
     params = params or spec.combinations()
     labels = [spec.candidate_key(p) for p in params]
