@@ -18,14 +18,10 @@ CURRENCY_LEGS = {
 }
 
 
-def order_key(*digits: tuple[Column, int]) -> Column:
-    """Concatenate non-negative integers of given decimal widths into one number."""
-    total = F.lit(0).cast("decimal(38,0)")
-    shift = sum(width for _, width in digits)
-    for column, width in digits:
-        shift -= width
-        total = total + column.cast(f"decimal({width},0)") * F.lit(10**shift).cast(f"decimal({max(shift + 1, 1)},0)")
-    return total.cast("decimal(38,0)")
+def order_key(major: Column, minor: Column) -> Column:
+    """Two non-negative integers as one number that sorts by major, then minor."""
+    wide = major.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + minor.cast("decimal(18,0)")
+    return wide.cast("decimal(38,0)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +64,7 @@ def hourly_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("symbol"),
         F.date_trunc("hour", "ts").alias("ts"),
         "value",
-        order_key((F.unix_micros("ts"), 18), (F.col("event_id"), 18)).alias("ord"),
+        order_key(F.unix_micros("ts"), F.col("event_id")).alias("ord"),
         (F.get_json_object("props", "$.k").cast("double") / 1e5).alias("spr"),
     )
     return build_bars(ticks, 100 + F.col("value") / 10, F.col("value"), F.col("ord"), F.col("spr"))
@@ -83,10 +79,8 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
         "l_quantity",
         order_key(
-            (F.col("l_orderkey"), 16),
-            (F.col("l_linenumber"), 3),
-            (F.round(F.col("l_extendedprice") * 100), 12),
-            (F.round(F.col("l_tax") * 100), 3),
+            F.col("l_orderkey") * 1000 + F.col("l_linenumber"),
+            F.round(F.col("l_extendedprice") * 100).cast("long") * 1000 + F.round(F.col("l_tax") * 100).cast("long"),
         ).alias("ord"),
         (F.col("l_tax") / 100).alias("spr"),
     )
