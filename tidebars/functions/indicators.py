@@ -31,21 +31,80 @@ def positive(x: Column) -> Column:
     return F.when(x > 0, x)
 
 
+def running(p: Panel, col: str) -> Panel:
+    """Running sums of a column inside each block, from which any window follows.
+
+    A rolling mean or deviation is then a difference of two running values: constant
+    work per bar, whatever the window length and however many windows are asked for.
+    Values are taken relative to the block's first one, so that little is cancelled, and
+    changes of value are counted exactly, so that a constant window has deviation 0.
+    """
+    if p.has(f"_s_{col}"):
+        return p
+    whole = p.order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = p.order.rowsBetween(Window.unboundedPreceding, 0)
+    p = p.add(**{f"_o_{col}": F.first(col, True).over(whole), f"_e_{col}": F.coalesce((F.col(col) != p.lag(col)).cast("int"), F.lit(0))})
+    d = F.coalesce(F.col(col) - F.col(f"_o_{col}"), F.lit(0.0))
+    return p.add(
+        **{
+            f"_s_{col}": F.sum(d).over(upto),
+            f"_q_{col}": F.sum(d * d).over(upto),
+            f"_n_{col}": F.count(col).over(upto),
+            f"_c_{col}": F.sum(f"_e_{col}").over(upto),
+        }
+    )
+
+
+def _within(p: Panel, name: str, n: int) -> Column:
+    """Growth of a running column over the last n bars."""
+    return F.col(name) - F.coalesce(p.lag(name, n), F.lit(0))
+
+
+def _ready(p: Panel, col: str, n: int, seed: int | None) -> Column:
+    return F.col("bar_no") >= seed + n - 1 if seed is not None else _within(p, f"_n_{col}", n) == n
+
+
+def _moments(p: Panel, col: str, n: int, seed: int | None) -> tuple[Column, Column]:
+    """Rolling mean and population deviation of a column with running sums."""
+    shift = _within(p, f"_s_{col}", n) / n
+    var = _within(p, f"_q_{col}", n) / n - shift * shift
+    moves = _within(p, f"_c_{col}", n - 1)
+    std = F.when(moves == 0, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
+    ready = _ready(p, col, n, seed)
+    return F.when(ready, F.col(f"_o_{col}") + shift), F.when(ready, std)
+
+
 def sma(p: Panel, col: str, n: int, name: str, seed: int | None = 0) -> Panel:
-    return p.add(**{name: full(p, n, col, F.avg(col), seed)})
+    if p.has(name):
+        return p
+    p = running(p, col)
+    return p.add(**{name: _moments(p, col, n, seed)[0]})
 
 
 def deviation(p: Panel, col: str, n: int, name: str, seed: int | None = 0) -> Panel:
     """Population standard deviation over n bars."""
-    return p.add(**{name: full(p, n, col, F.stddev_pop(col), seed)})
+    if p.has(name):
+        return p
+    p = running(p, col)
+    return p.add(**{name: _moments(p, col, n, seed)[1]})
 
 
 def zscore(p: Panel, col: str, n: int, name: str, seed: int | None = 0) -> Panel:
-    mean = full(p, n, col, F.avg(col), seed)
-    std = full(p, n, col, F.stddev_pop(col), seed)
+    if p.has(name):
+        return p
+    p = running(p, col)
+    mean, std = _moments(p, col, n, seed)
     return p.add(**{name: (F.col(col) - mean) / positive(std)})
 
 
+def rolling_sum(p: Panel, col: str, n: int, name: str, seed: int | None = 0) -> Panel:
+    if p.has(name):
+        return p
+    p = running(p, col)
+    total = _within(p, f"_s_{col}", n) + n * F.col(f"_o_{col}")
+    return p.add(**{name: F.when(_ready(p, col, n, seed), total)})
+
+
 def change(p: Panel, col: str, k: int, name: str) -> Panel:
     return p.add(**{name: F.col(col) - p.lag(col, k)})
 
@@ -128,8 +187,8 @@ def macd(p: Panel, fast: int, slow: int, signal: int) -> Panel:
 
 def vwap(p: Panel, n: int) -> Panel:
     p = p.add(_tpv=(F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))
-    vol = full(p, n, "volume", F.sum("volume"), 0)
-    return p.add(**{f"vwap_{n}": full(p, n, "_tpv", F.sum("_tpv"), 0) / positive(vol)})
+    p = rolling_sum(rolling_sum(p, "volume", n, f"_vol_{n}"), "_tpv", n, f"_sum_{n}")
+    return p.add(**{f"vwap_{n}": F.col(f"_sum_{n}") / positive(F.col(f"_vol_{n}"))})
 
 
 def adx(p: Panel, n: int) -> Panel:
@@ -154,9 +213,10 @@ def rsi(p: Panel, n: int) -> Panel:
         _gain=F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))),
         _loss=F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
     )
-    gain = full(p, n, "_gain", F.avg("_gain"), 1)
-    loss = full(p, n, "_loss", F.avg("_loss"), 1)
-    return p.add(**{f"rsi_{n}": 100 - 100 / (1 + gain / positive(loss))})
+    p = sma(sma(p, "_gain", n, f"_ag_{n}", seed=1), "_loss", n, f"_al_{n}", seed=1)
+    # Losses are never negative, so a mean below rounding noise is a window without any.
+    loss = F.when(F.col(f"_al_{n}") > 1e-11, F.col(f"_al_{n}"))
+    return p.add(**{f"rsi_{n}": 100 - 100 / (1 + F.col(f"_ag_{n}") / loss)})
 
 
 def donchian(p: Panel, n: int) -> Panel:
@@ -200,7 +260,8 @@ def leg_correlation(p: Panel, n: int) -> Panel:
 
 def range_expansion(p: Panel, n: int) -> Panel:
     p = p.add(_range=F.col("high") - F.col("low"))
-    return p.add(**{f"avgrange_{n}": F.when(F.col("bar_no") >= n, F.avg("_range").over(p.prior(n)))})
+    p = sma(p, "_range", n, f"_mrange_{n}")
+    return p.add(**{f"avgrange_{n}": p.lag(f"_mrange_{n}")})
 
 
 def squeeze(p: Panel, n: int, num_std: float, atr_multiple: float) -> Panel:
@@ -226,8 +287,8 @@ def vwap_zscore(p: Panel, n: int) -> Panel:
     """Distance from vwap in deviations of that distance; its mean is not removed."""
     p = vwap(p, n)
     p = p.add(**{f"_vdev_{n}": F.col("close") - F.col(f"vwap_{n}")})
-    std = full(p, n, f"_vdev_{n}", F.stddev_pop(f"_vdev_{n}"), None)
-    return p.add(**{f"vwapz_{n}": F.col(f"_vdev_{n}") / positive(std)})
+    p = deviation(p, f"_vdev_{n}", n, f"_vsd_{n}", seed=None)
+    return p.add(**{f"vwapz_{n}": F.col(f"_vdev_{n}") / positive(F.col(f"_vsd_{n}"))})
 
 
 def rolling_hedge(p: Panel, n: int) -> Panel:

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def build_bars(
     ticks: DataFrame, price: Column, size: Column, order: Column, spread: Column
 ) -> DataFrame:
-    """OHLC bars of ticks that carry ``symbol`` and an interval start ``ts``."""
+    """OHLC bars of ticks that carry ``symbol`` and an interval ``ts`` (any cheap code of it)."""
     return (
         ticks.select("symbol", "ts", price.alias("p"), size.alias("q"), order.alias("k"), spread.alias("s"))
         .groupBy("symbol", "ts")
@@ -53,7 +53,8 @@ def fill_spread(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts")
     valid = F.when(F.col("quoted_spread") > 0, F.col("quoted_spread"))
     back = F.last(valid, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(valid, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Only bars before the first valid spread look ahead, and they all see that one.
+    ahead = F.first(valid, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return bars.withColumn("fill_spread_fraction", F.coalesce(back, ahead)).drop("quoted_spread")
 
 
@@ -62,12 +63,13 @@ def hourly_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     ticks = e.select(
         F.col("event_type").alias("symbol"),
-        F.date_trunc("hour", "ts").alias("ts"),
+        F.expr("unix_micros(ts) div 3600000000").alias("ts"),
         "value",
         order_key(F.unix_micros("ts"), F.col("event_id")).alias("ord"),
         (F.get_json_object("props", "$.k").cast("double") / 1e5).alias("spr"),
     )
-    return build_bars(ticks, 100 + F.col("value") / 10, F.col("value"), F.col("ord"), F.col("spr"))
+    bars = build_bars(ticks, 100 + F.col("value") / 10, F.col("value"), F.col("ord"), F.col("spr"))
+    return bars.withColumn("ts", F.timestamp_seconds(F.col("ts") * 3600))
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     ticks = li.select(
         F.col("l_returnflag").alias("symbol"),
-        F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts"),
+        F.col("l_shipdate").cast("date").alias("ts"),
         "l_extendedprice",
         "l_quantity",
         order_key(
@@ -84,9 +86,10 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("ord"),
         (F.col("l_tax") / 100).alias("spr"),
     )
-    return build_bars(
+    bars = build_bars(
         ticks, 100 + F.col("l_extendedprice") / 2500, F.col("l_quantity"), F.col("ord"), F.col("spr")
     )
+    return bars.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
