@@ -152,8 +152,7 @@ def ema(p: Panel, col: str, span: int, name: str, seed: int = 0) -> Panel:
     ends = F.when((F.col(pos) == size - 1) & (t >= 0), F.col(local))
     carried = F.last(ends, True).over(p.order.rowsBetween(Window.unboundedPreceding, -1))
     value = F.col(local) + F.coalesce(F.pow(F.lit(q), F.col(pos) + 1) * carried, F.lit(0.0))
-    p = p.add(**{name: F.when(t >= span - 1, value)})
-    return Panel(p.df.drop(pos, chunk, local), p.keys)
+    return p.add(**{name: F.when(t >= span - 1, value)})
 
 
 def true_range(p: Panel) -> Panel:

@@ -11,7 +11,7 @@ under a million rows), which bounds the numbering pass itself.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -33,10 +33,25 @@ def number_bars(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFra
     )
 
 
-@dataclass(frozen=True)
 class Panel:
-    df: DataFrame
-    keys: tuple[str, ...]
+    """Blocked bars plus the columns asked for so far.
+
+    Columns are kept aside and added in as few steps as their dependencies allow, since
+    every step on a deep plan is analysed anew and windows added together share a pass.
+    """
+
+    def __init__(self, df: DataFrame, keys: tuple[str, ...]) -> None:
+        self._df, self.keys = df, keys
+        self._names = set(df.columns)
+        self._layers: list[dict[str, Column]] = []
+        self._depth: dict[str, int] = {}
+
+    @property
+    def df(self) -> DataFrame:
+        out = self._df
+        for layer in self._layers:
+            out = out.withColumns(layer)
+        return out
 
     @property
     def order(self):
@@ -46,20 +61,25 @@ class Panel:
         """The current bar and the n-1 before it."""
         return self.order.rowsBetween(-(n - 1), 0)
 
-    def prior(self, n: int):
-        """The n bars before the current one."""
-        return self.order.rowsBetween(-n, -1)
-
     def lag(self, col: str | Column, k: int = 1) -> Column:
         return F.lag(col, k).over(self.order)
 
     def has(self, name: str) -> bool:
-        return name in self.df.columns
+        return name in self._names
 
     def add(self, **cols: Column) -> "Panel":
         """Add the columns that are not there yet, so shared indicators are built once."""
-        new = {k: v for k, v in cols.items() if k not in self.df.columns}
-        return Panel(self.df.withColumns(new), self.keys) if new else self
+        for name, col in cols.items():
+            if name in self._names:
+                continue
+            used = set(re.findall(r"\w+", str(col))) & self._depth.keys()
+            depth = 1 + max((self._depth[u] for u in used), default=-1)
+            while len(self._layers) <= depth:
+                self._layers.append({})
+            self._layers[depth][name] = col
+            self._depth[name] = depth
+            self._names.add(name)
+        return self
 
     def settle(self) -> DataFrame:
         """The bars of each block without the halo."""

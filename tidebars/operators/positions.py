@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebars.operators.panel import Panel, make_panel
+from tidebars.operators.panel import make_panel
 from tidebars.operators.sar import sar_codes
 from tidebars.plans.families import REGISTRY, Held, Level, Params
+from tidebars.session import materialize
 
 SCAN_ROWS = 512
 BAR_COLUMNS = ("bar_no", "ts", "prev_ts", "open", "next_open", "fill_spread_fraction")
@@ -137,17 +138,19 @@ def held_positions(rows: DataFrame, keys: tuple[str, ...], codes: str, count: in
     )
 
 
-def level_positions(panel: Panel, codes: str, count: int, carry: tuple[str, ...]) -> DataFrame:
-    flat = F.lit("1" * count)
-    lagged = panel.add(
-        _c1=F.coalesce(panel.lag(codes, 1), flat), _c2=F.coalesce(panel.lag(codes, 2), flat)
-    ).settle()
+def level_positions(rows: DataFrame, keys: tuple[str, ...], count: int, carry: tuple[str, ...]) -> DataFrame:
+    """One row per parameter set from the digit strings of a bar and its two predecessors.
+
+    Bars are placed by (key, block) before rows multiply, which later windows reuse.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digit = lambda name: F.expr(f"cast(substr({name}, pid + 1, 1) as int) - 1")
     return (
-        lagged.select(*panel.keys, "blk", *carry, codes, "_c1", "_c2", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("pid"))
+        rows.repartition(tasks, *keys, "blk")
+        .select(*keys, "blk", *carry, "codes", "codes1", "codes2", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("pid"))
         .select(
-            *panel.keys, "blk", "pid", *carry,
-            digit(codes).alias("target"), digit("_c1").alias("executed"), digit("_c2").alias("before"),
+            *keys, "blk", "pid", *carry,
+            digit("codes").alias("target"), digit("codes1").alias("executed"), digit("codes2").alias("before"),
         )
     )
 
@@ -167,7 +170,6 @@ def positions(
     once rows are few: sorting and shuffling by a number is cheaper.
     """
     types = dict(numbered.dtypes)
-    numbered = numbered.withColumns({k: F.coalesce(F.col(k), F.lit("" if types[k] == "string" else 0)) for k in keys})
     sar = [(f, p) for f, p in wanted if f == "trend_psar"]
     if sar:
         numbered = sar_codes(numbered, keys, [p for _, p in sar])
@@ -182,15 +184,27 @@ def positions(
             helds.append((index, held_code(rule)))
         elif isinstance(rule, Level):
             levels.append((index, level_code(rule)))
-    parts = []
-    if levels or sar:
-        indexes = [i for i, _ in levels] + [i for i, (f, _) in enumerate(wanted) if f == "trend_psar"]
+    # Signals are stored as one short string per bar: later steps start from a small
+    # table instead of repeating (and re-planning) every indicator.
+    stored = {c: F.col(c) for c in (*keys, "blk", *carry)}
+    indexes = [i for i, _ in levels] + [i for i, (f, _) in enumerate(wanted) if f == "trend_psar"]
+    if indexes:
         pieces = [code for _, code in levels] + ([F.coalesce(F.col("sar_codes"), F.lit("1" * len(sar)))] if sar else [])
-        part = level_positions(panel.add(codes=F.concat(*pieces)), "codes", len(indexes), carry)
-        parts.append(_indexed(part, indexes))
+        panel = panel.add(codes=F.concat(*pieces))
+        flat = F.lit("1" * len(indexes))
+        lags = {f"codes{k}": F.coalesce(panel.lag("codes", k), flat) for k in (1, 2)}
+        panel = panel.add(**lags)
+        stored |= {c: F.col(c) for c in ("codes", *lags)}
+    if helds:
+        stored["held"] = F.concat(*[code for _, code in helds])
+    rows = materialize(panel.settle().select(*[c.alias(n) for n, c in stored.items()]), "signals")
+    # Reading back makes columns nullable; see held_positions for why keys must not be.
+    rows = rows.withColumns({k: F.coalesce(F.col(k), F.lit("" if types[k] == "string" else 0)) for k in keys})
+    parts = []
+    if indexes:
+        parts.append(_indexed(level_positions(rows, keys, len(indexes), carry), indexes))
     if helds:
-        rows = panel.settle().select(*keys, *carry, F.concat(*[code for _, code in helds]).alias("codes"))
-        part = held_positions(rows, keys, "codes", len(helds), carry)
+        part = held_positions(rows, keys, "held", len(helds), carry)
         parts.append(_indexed(part, [i for i, _ in helds]))
     out = parts[0]
     for part in parts[1:]:
