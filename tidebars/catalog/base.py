@@ -27,9 +27,19 @@ def dbl(*names: str) -> str:
     return ", ".join(f"round({n} + 3.7e-8, 6) + 0.0 AS {n}" for n in names)
 
 
+def runner(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps are UTC in every table, so queries run in a UTC session."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return rounded(fn(spark, sf_dir))
+
+    return run
+
+
 def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = runner(fn)
         if sql is not None:
             ORACLES[name] = with_ctes(sql, ctes or {})
         return fn

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebars.catalog.base import cte, dbl, query, with_ctes, ORACLES, QUERIES, rounded
+from tidebars.catalog.base import ORACLES, QUERIES, cte, dbl, query, runner, with_ctes
 from tidebars.functions import indicators as ind
 from tidebars.functions.indicators import num
 from tidebars.operators import asof, pairs
@@ -508,7 +508,7 @@ def _register(name: str, family: str) -> None:
         want = [(family, p) for p in REGISTRY[family].combinations()]
         return named(positions(family_bars(spark, d, family), want), want).select("family", "symbol", "params_key", "ts", F.col("target").cast("int").alias("target"))
 
-    QUERIES[name] = lambda spark, d: rounded(run(spark, d))
+    QUERIES[name] = runner(run)
     ORACLES[name] = with_ctes(f"SELECT family, symbol, params_key, ts, target FROM {name}_t", signal_ctes(family))
 
 

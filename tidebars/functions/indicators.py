@@ -115,6 +115,8 @@ def ratio_change(p: Panel, col: str, k: int, name: str) -> Panel:
 
 
 def returns(p: Panel) -> Panel:
+    if p.has("ret1"):
+        return p
     return ratio_change(p, "close", 1, "ret1")
 
 
@@ -156,6 +158,8 @@ def ema(p: Panel, col: str, span: int, name: str, seed: int = 0) -> Panel:
 
 
 def true_range(p: Panel) -> Panel:
+    if p.has("tr"):
+        return p
     before = p.lag("close")
     return p.add(
         tr=F.greatest(
@@ -165,6 +169,8 @@ def true_range(p: Panel) -> Panel:
 
 
 def atr(p: Panel, n: int) -> Panel:
+    if p.has(f"atr_{n}"):
+        return p
     return sma(true_range(p), "tr", n, f"atr_{n}")
 
 
@@ -178,6 +184,8 @@ def close_ema(p: Panel, span: int) -> Panel:
 
 
 def macd(p: Panel, fast: int, slow: int, signal: int) -> Panel:
+    if p.has(f"macdsig_{fast}_{slow}_{signal}"):
+        return p
     p = close_ema(close_ema(p, fast), slow)
     line = f"macd_{fast}_{slow}"
     p = p.add(**{line: F.col(f"ema_{fast}") - F.col(f"ema_{slow}")})
@@ -185,6 +193,8 @@ def macd(p: Panel, fast: int, slow: int, signal: int) -> Panel:
 
 
 def vwap(p: Panel, n: int) -> Panel:
+    if p.has(f"vwap_{n}"):
+        return p
     p = p.add(_tpv=(F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))
     p = rolling_sum(rolling_sum(p, "volume", n, f"_vol_{n}"), "_tpv", n, f"_sum_{n}")
     return p.add(**{f"vwap_{n}": F.col(f"_sum_{n}") / positive(F.col(f"_vol_{n}"))})
@@ -192,6 +202,8 @@ def vwap(p: Panel, n: int) -> Panel:
 
 def adx(p: Panel, n: int) -> Panel:
     """Directional indicators with simple means; on the first bar both moves count 0."""
+    if p.has(f"adx_{n}"):
+        return p
     up, down = F.col("high") - p.lag("high"), p.lag("low") - F.col("low")
     p = p.add(
         _pdm=F.when((up > down) & (up > 0), up).otherwise(0.0),
@@ -206,6 +218,8 @@ def adx(p: Panel, n: int) -> Panel:
 
 
 def rsi(p: Panel, n: int) -> Panel:
+    if p.has(f"rsi_{n}"):
+        return p
     p = change(p, "close", 1, "diff1")
     d = F.col("diff1")
     p = p.add(
@@ -219,16 +233,22 @@ def rsi(p: Panel, n: int) -> Panel:
 
 
 def donchian(p: Panel, n: int) -> Panel:
+    if p.has(f"mid_{n}"):
+        return p
     high = full(p, n, "high", F.max("high"), 0)
     low = full(p, n, "low", F.min("low"), 0)
     return p.add(**{f"mid_{n}": (high + low) / 2})
 
 
 def momentum(p: Panel, k: int) -> Panel:
+    if p.has(f"mom_{k}"):
+        return p
     return ratio_change(p, "close", k, f"mom_{k}")
 
 
 def acceleration(p: Panel, k: int) -> Panel:
+    if p.has(f"acc_{k}"):
+        return p
     return change(momentum(p, k), f"mom_{k}", k, f"acc_{k}")
 
 
@@ -242,22 +262,30 @@ BARS_PER_YEAR = 24 * 252
 
 def realized_vol(p: Panel, n: int) -> Panel:
     """Annualised deviation of one-bar returns, in percent."""
+    if p.has(f"annvol_{n}"):
+        return p
     p = return_deviation(p, n)
     return p.add(**{f"annvol_{n}": F.col(f"rvol_{n}") * math.sqrt(BARS_PER_YEAR) * 100})
 
 
 def vol_zscore(p: Panel, n: int) -> Panel:
+    if p.has(f"volz_{n}"):
+        return p
     return zscore(return_deviation(p, n), f"rvol_{n}", 4 * n, f"volz_{n}", seed=n)
 
 
 def leg_correlation(p: Panel, n: int) -> Panel:
     """Rolling correlation of the two legs' returns and its z-score over 4n bars."""
+    if p.has(f"corrz_{n}"):
+        return p
     p = ratio_change(ratio_change(p, "leg_a_close", 1, "_ra"), "leg_b_close", 1, "_rb")
     p = p.add(**{f"corr_{n}": full(p, n, "_ra", F.corr("_ra", "_rb"), 1)})
     return zscore(p, f"corr_{n}", 4 * n, f"corrz_{n}", seed=None)
 
 
 def range_expansion(p: Panel, n: int) -> Panel:
+    if p.has(f"avgrange_{n}"):
+        return p
     p = p.add(_range=F.col("high") - F.col("low"))
     p = sma(p, "_range", n, f"_mrange_{n}")
     return p.add(**{f"avgrange_{n}": p.lag(f"_mrange_{n}")})
@@ -265,6 +293,8 @@ def range_expansion(p: Panel, n: int) -> Panel:
 
 def squeeze(p: Panel, n: int, num_std: float, atr_multiple: float) -> Panel:
     """Band width against channel width; released on the first bar after a squeeze."""
+    if p.has(f"sqoff_{n}_{num(num_std)}_{num(atr_multiple)}"):
+        return p
     p = close_ema(atr(bollinger(p, n), n), n)
     on = f"sqon_{n}_{num(num_std)}_{num(atr_multiple)}"
     mean, mid = F.col(f"sma_{n}"), F.col(f"ema_{n}")
@@ -276,6 +306,8 @@ def squeeze(p: Panel, n: int, num_std: float, atr_multiple: float) -> Panel:
 
 
 def pct_b(p: Panel, n: int, num_std: float) -> Panel:
+    if p.has(f"pctb_{n}_{num(num_std)}"):
+        return p
     p = bollinger(p, n)
     mean, half = F.col(f"sma_{n}"), num_std * F.col(f"sd_{n}")
     width = positive((mean + half) - (mean - half))
@@ -284,6 +316,8 @@ def pct_b(p: Panel, n: int, num_std: float) -> Panel:
 
 def vwap_zscore(p: Panel, n: int) -> Panel:
     """Distance from vwap in deviations of that distance; its mean is not removed."""
+    if p.has(f"vwapz_{n}"):
+        return p
     p = vwap(p, n)
     p = p.add(**{f"_vdev_{n}": F.col("close") - F.col(f"vwap_{n}")})
     p = deviation(p, f"_vdev_{n}", n, f"_vsd_{n}", seed=None)
@@ -292,6 +326,8 @@ def vwap_zscore(p: Panel, n: int) -> Panel:
 
 def rolling_hedge(p: Panel, n: int) -> Panel:
     """Rolling hedge ratio (sample covariance over population variance) and its spread."""
+    if p.has(f"rspread_{n}"):
+        return p
     a, b = F.col("leg_a_close"), F.col("leg_b_close")
     ready = F.col("bar_no") >= n - 1
     w = p.rows(n)
@@ -303,4 +339,6 @@ def rolling_hedge(p: Panel, n: int) -> Panel:
 
 
 def rolling_hedge_zscore(p: Panel, n: int) -> Panel:
+    if p.has(f"rhz_{n}"):
+        return p
     return zscore(rolling_hedge(p, n), f"rspread_{n}", n, f"rhz_{n}", seed=None)

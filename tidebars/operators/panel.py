@@ -15,6 +15,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from tidebars.session import fan_out
+
 MIN_BLOCK_ROWS = 512
 
 
@@ -106,5 +108,4 @@ def make_panel(
     )
     # An explicit count: candidates multiply rows inside these tasks, so partitions must
     # not be merged by the size they have before that.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Panel(df.repartition(tasks, *keys, "blk"), tuple(keys))
+    return Panel(df.repartition(fan_out(df.sparkSession), *keys, "blk"), tuple(keys))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidebars.operators.panel import make_panel
 from tidebars.operators.sar import sar_codes
 from tidebars.plans.families import REGISTRY, Held, Level, Params
-from tidebars.session import materialize
+from tidebars.session import fan_out, materialize
 
 SCAN_ROWS = 512
 BAR_COLUMNS = ("bar_no", "ts", "prev_ts", "open", "next_open", "fill_spread_fraction")
@@ -86,12 +86,11 @@ def _digit(map_char: str, state: str) -> str:
 
 def held_positions(rows: DataFrame, keys: tuple[str, ...], codes: str, count: int, carry: tuple[str, ...]) -> DataFrame:
     """Target, executed and previous executed state digit of every bar and parameter set."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Join keys that cannot be null keep both uses of ``blocks`` identical, so that its
     # shuffle runs once; the outer generators spare a filter that would fold twice.
     blocks = (
         rows.withColumn("blk", F.coalesce((F.col("bar_no") / SCAN_ROWS).cast("int"), F.lit(0)))
-        .repartition(tasks, *keys, "blk")
+        .repartition(fan_out(rows.sparkSession), *keys, "blk")
         .groupBy(*keys, "blk")
         .agg(F.sort_array(F.collect_list(F.struct("bar_no", codes, *[c for c in carry if c != "bar_no"]))).alias("bars"))
         .withColumn("maps", _fold_block(codes, count))
@@ -143,10 +142,9 @@ def level_positions(rows: DataFrame, keys: tuple[str, ...], count: int, carry: t
 
     Bars are placed by (key, block) before rows multiply, which later windows reuse.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     digit = lambda name: F.expr(f"cast(substr({name}, pid + 1, 1) as int) - 1")
     return (
-        rows.repartition(tasks, *keys, "blk")
+        rows.repartition(fan_out(rows.sparkSession), *keys, "blk")
         .select(*keys, "blk", *carry, "codes", "codes1", "codes2", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("pid"))
         .select(
             *keys, "blk", "pid", *carry,

@@ -250,6 +250,8 @@ _family(
 
 def _risk_adjusted(n: Panel, p: Params) -> Panel:
     k = int(p["window"])
+    if n.has(f"rar_{k}"):
+        return n
     n = ind.sma(ind.return_deviation(n, k), "ret1", k, f"rmean_{k}", seed=1)
     return n.add(**{f"rar_{k}": c(f"rmean_{k}") / ind.positive(c(f"rvol_{k}"))})
 
@@ -268,6 +270,8 @@ def _histogram(n: Panel, p: Params) -> Panel:
     n = _macd_prepare(n, p)
     line = f"{p['fast_span']:g}_{p['slow_span']:g}"
     name = f"hist_{line}_{p['signal_span']:g}"
+    if n.has(name):
+        return n
     n = n.add(**{name: (c(f"macd_{line}") - c(f"macdsig_{line}_{p['signal_span']:g}")) / F.when(c("close") != 0, c("close"))})
     return ind.change(n, name, 1, name.replace("hist", "hslope"))
 
@@ -399,6 +403,8 @@ _family(
 
 def _vol_mr_prepare(n: Panel, p: Params) -> Panel:
     k = int(p["short_window"])
+    if n.has(f"drift_{k}"):
+        return n
     n = ind.vol_zscore(n, k)
     return n.add(**{f"drift_{k}": F.col("close") - n.lag("close", k)})
 

@@ -52,6 +52,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fan_out(spark: SparkSession) -> int:
+    """Partitions for steps that multiply rows: as configured, but not far beyond the cores."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(configured, 4 * spark.sparkContext.defaultParallelism))
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """Fail at plan time when an input lacks a column an operator needs."""
     missing = sorted(set(names) - set(df.columns))
