@@ -39,6 +39,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo(dict):
     """A bounded cache of a pure function: two generations of ``limit`` entries at most, the older one is forgotten first."""
 
