@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebars.llm import bpe, language_model, neardup, quality, substrings, token_files, warc, winnow
+from tidebars.llm import bpe, language_id, language_model, neardup, quality, substrings, token_files, toxicity, warc, winnow
 from tidebars.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 0
+    lexicon = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted", "terms")
+
+
 @register
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -65,6 +72,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digests(winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 3) == 1
+    learned = language_id.learn(docs.where(~held_out))
+    return language_id.predict(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
