@@ -42,7 +42,7 @@ class Chunks:
     #: White space other than blank and line end, and the separator used below.
     OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x00"
 
-    def __init__(self, many, limit: int = 400_000):
+    def __init__(self, many, limit: int = 120_000):
         self.many, self.known = many, Memo(lambda chunk: many([chunk])[0], limit)
 
     def cut(self, text: str) -> list[str]:
@@ -75,7 +75,7 @@ class Merger:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.pieces = Memo(lambda p: self.merge_many([p])[0])
+        self.pieces = Memo(lambda p: self.merge_many([p])[0], 60_000)
         self.chunks = Chunks(self.encode_chunks)
 
     def pair_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,12 +236,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(ranks_path, pattern)
-        for batch in batches:
-            ids = []
-            for _, texts in each_text([batch]):
-                ids += m.encode([t.decode("utf-8", "replace") for t in texts])
+        for keys, texts in each_text(batches):
+            ids = m.encode([t.decode("utf-8", "replace") for t in texts])
             yield pa.record_batch(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                [keys, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
                 ["doc_id", "ids", "n_tokens"],
             )
 
