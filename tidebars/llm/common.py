@@ -92,11 +92,21 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def text_tag(text_col: str = "text") -> Column:
+    """Hash of a text, to tell rows apart that repeat an identifier."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))
+
+
 def each_text(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """(ids, texts) of Arrow batches with columns ``doc_id`` and ``text`` in bounded pieces."""
+    """(ids, texts) of Arrow batches with columns ``doc_id`` and ``text`` in pieces of about ``budget`` bytes; texts stay whole.
+
+    Where there is a column ``tag``, ids are structs of both.
+    """
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        ids = batch.column("doc_id")
+        if "tag" in batch.schema.names:
+            ids = pa.StructArray.from_arrays([ids, batch.column("tag")], ["doc_id", "tag"])
+        texts = batch.column("text").to_pylist()
         start, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidebars.llm.common import WORD_BREAK
+from tidebars.llm.common import WORD_BREAK, text_tag
 from tidebars.session import materialize
 
 WINDOW = 8
@@ -44,6 +44,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
+        text_tag(text_col).alias("tag"),
         F.col(f"`{lang_col}`").alias("lang"),
         F.col(f"`{source_col}`").alias("source"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -51,7 +52,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         words_of(text).alias("words"),
     )
     hashed = base.select(
-        "doc_id", "lang", "source", "n_symbols",
+        "doc_id", "tag", "lang", "source", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -61,9 +62,9 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     n = F.size("h") - (WINDOW - 1)
     shifted = [F.slice("h", i + 1, n).alias(f"w{i}") for i in range(WINDOW)]
     windows = F.when(n > 0, F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    counted = hashed.select("doc_id", "lang", "source", "n_symbols", "n_words", "word_chars", "n_dup_lines", windows.alias("g"))
+    counted = hashed.select("doc_id", "tag", "lang", "source", "n_symbols", "n_words", "word_chars", "n_dup_lines", windows.alias("g"))
     repeats = F.when(F.size("g") > F.size(F.array_distinct("g")), repeated_words(F.col("g"))).otherwise(F.lit(0).cast("long"))
-    return counted.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
+    return counted.select("doc_id", "tag", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"))
 
 
 def repeated_words(g: Column) -> Column:
@@ -128,7 +129,7 @@ def fences(shares: DataFrame, reach: float = REACH, least: int = LEAST) -> DataF
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: float = REACH, least: int = LEAST) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``kept`` and ``failed_rules`` (names, in order) of every document."""
+    """``doc_id``, the counts, ``base_failed``, ``kept``, ``failed_rules`` (names, in order) and ``tag`` (hash of the text) of every document."""
     counts = materialize(measures(docs, id_col, text_col, lang_col, source_col), "quality")
     shares = with_shares(counts)
     limits = fences(shares, reach, least)
@@ -140,5 +141,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *hit))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (F.size(failed) == 0).alias("kept"), failed.alias("failed_rules"),
+        (F.size(failed) == 0).alias("kept"), failed.alias("failed_rules"), "tag",
     )

@@ -21,10 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidebars.llm.common import LOWER, NOT_ALNUM, Words, binary_lists, distinct, each_text, gram_hashes, id_text, mix, runs_within, scan_words, sliding_min
+from tidebars.llm.common import LOWER, NOT_ALNUM, Words, binary_lists, distinct, each_text, gram_hashes, id_text, mix, runs_within, scan_words, sliding_min, text_tag
 from tidebars.session import materialize
 
 WINDOW = 10
@@ -107,13 +106,12 @@ def posted(docs: DataFrame, id_col: str, text_col: str, window: int, k: int, sho
             )
             yield pa.record_batch(
                 [
-                    ids, pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
-                    pa.array(np.diff(w.offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), one),
+                    *ids.flatten(), pa.array(np.diff(w.offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), one),
                 ],
                 ["doc_id", "tag", "n_words", "posts"],
             )
 
-    df = id_text(docs, id_col, text_col)
+    df = id_text(docs, id_col, text_col).withColumn("tag", text_tag())
     kind = df.schema["doc_id"].dataType.simpleString()
     return df.mapInArrow(run, f"doc_id {kind}, tag long, n_words long, posts array<struct<{', '.join(c.replace(' ', ':', 1) for c in POST.split(', '))}>>")
 
