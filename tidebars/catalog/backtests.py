@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebars.catalog.base import cte, dbl, query
+from tidebars.catalog.population import universe
 from tidebars.catalog.signals import FAMILY_QUERY, signal_ctes, stored_daily, stored_pairs
 from tidebars.operators import backtest as bt
 from tidebars.operators.positions import named, positions
@@ -196,10 +197,10 @@ def population_ctes() -> dict[str, str]:
 
 @query(
     "backtest_all",
-    f"SELECT {METRIC_SELECT} FROM popd_met UNION ALL SELECT {METRIC_SELECT} FROM popp_met",
+    f"SELECT {METRIC_SELECT} FROM (SELECT * FROM popd_met UNION ALL SELECT * FROM popp_met) JOIN population_t USING ({CKEY})",
     population_ctes(),
 )
 def backtest_all(spark, d):
     single = stored_daily(spark, d, macro=True)
     pairs = stored_pairs(spark, d)
-    return grid_backtest(single, pairs).select(*CK, "first_observation", "last_observation", *ALL_I, *ALL_D)
+    return grid_backtest(single, pairs, universe=universe(spark, d)).select(*CK, "first_observation", "last_observation", *ALL_I, *ALL_D)

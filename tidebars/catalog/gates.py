@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
 from pyspark.sql import functions as F
 
 from tidebars.catalog.backtests import (
@@ -13,7 +10,10 @@ from tidebars.catalog.backtests import (
 from tidebars.catalog.bars import event_rows
 from tidebars.catalog.base import cte, dbl, query
 from tidebars.catalog.signals import layers, roll, signal_ctes, stored_daily
+from tidebars.catalog.population import universe
+from tidebars.functions import normal
 from tidebars.operators import backtest as bt
+from tidebars.operators import candidates as cand
 from tidebars.operators.candidates import variant_plan
 from tidebars.operators.positions import named, positions
 from tidebars.plans import report
@@ -292,7 +292,7 @@ cte(
 )
 cte(
     "stress_win",
-    f"""SELECT * FROM worst_all UNION ALL SELECT DISTINCT symbol, 'fixed', 'fixed_historical', TIMESTAMP '{STRESS.fixed_start}', TIMESTAMP '{STRESS.fixed_end}', NULL::DOUBLE FROM worst1""",
+    f"""SELECT * FROM worst_all UNION ALL SELECT DISTINCT symbol, 'fixed', 'fixed_historical', TIMESTAMP '{STRESS.fixed_start}', TIMESTAMP '{STRESS.fixed_end}', NULL::DOUBLE FROM bars_d""",
 )
 SM_D = stress.METRICS[1:]
 SK = f"{CKEY}, stress_id"
@@ -312,13 +312,14 @@ def gate3_ctes(tag: str, family: str) -> dict[str, str]:
     out[f"{tag}_snav"] = nav_sql(f"{tag}_syn", CKEY, ("net",))
     out[f"{tag}_smet"] = metrics_sql(f"{tag}_snav", none(CKEY), CKEY, "", ("net",))
     out[f"{tag}_j"] = f"""SELECT y.family, y.symbol, y.params_key, y.net_total_return AS synthetic_net_total_return, y.net_max_drawdown AS synthetic_net_max_drawdown, y.terminal_nav AS synthetic_terminal_nav,
-  count(h.stress_id) FILTER (WHERE stress_id = 'fixed') AS nf, count(h.stress_id) FILTER (WHERE stress_id <> 'fixed') AS nw,
+  any_value(first_ts) > TIMESTAMP '{s.fixed_end}' AS na, count(h.stress_id) FILTER (WHERE stress_id <> 'fixed') AS nw,
   max(CASE WHEN stress_id = 'fixed' THEN h.net_total_return END) AS fixed_net_return, max(CASE WHEN stress_id = 'fixed' THEN h.net_max_drawdown END) AS fixed_max_drawdown,
   min(CASE WHEN stress_id <> 'fixed' THEN h.net_total_return END) AS worst_historical_net_return, min(CASE WHEN stress_id <> 'fixed' THEN h.net_max_drawdown END) AS worst_historical_max_drawdown
-FROM {tag}_smet y LEFT JOIN {tag}_hist h USING ({CKEY}) GROUP BY ALL"""
+FROM {tag}_smet y LEFT JOIN {tag}_hist h USING ({CKEY}) LEFT JOIN (SELECT symbol, min(ts) AS first_ts FROM daily_no GROUP BY 1) f ON f.symbol = y.symbol
+GROUP BY y.family, y.symbol, y.params_key, y.net_total_return, y.net_max_drawdown, y.terminal_nav"""
     reasons = fails(
-        fixed_net_return=f"nf = 0 OR fixed_net_return >= {s.minimum_fixed_return}", fixed_drawdown=f"nf = 0 OR fixed_max_drawdown >= {-s.maximum_fixed_drawdown}",
-        missing_worst_market_windows="nw > 0", worst_window_net_return=f"nw = 0 OR worst_historical_net_return >= {s.minimum_worst_return}",
+        fixed_net_return=f"na OR fixed_net_return >= {s.minimum_fixed_return}", fixed_drawdown=f"na OR fixed_max_drawdown >= {-s.maximum_fixed_drawdown}",
+        missing_worst_market_windows=f"nw >= {s.window_count}", worst_window_net_return=f"nw = 0 OR worst_historical_net_return >= {s.minimum_worst_return}",
         worst_window_drawdown=f"nw = 0 OR worst_historical_max_drawdown >= {-s.maximum_worst_drawdown}", synthetic_total_return=f"synthetic_net_total_return >= {s.minimum_synthetic_return}",
         synthetic_drawdown=f"synthetic_net_max_drawdown >= {-s.maximum_synthetic_drawdown}", synthetic_terminal_nav=f"synthetic_terminal_nav >= {s.minimum_synthetic_nav}",
     )
@@ -375,7 +376,7 @@ L3_D = ("fixed_net_return", "fixed_max_drawdown", "worst_historical_net_return",
 
 @query("l3_gate", f"SELECT {CKEY}, {dbl(*L3_D)}, layer3_pass, failure_reason FROM g3_gate", G3)
 def l3_gate(spark, d):
-    return named(stress.judge(*g3_parts(spark, d), STRESS), G3_PLAN).select(*CK, *L3_D, "layer3_pass", "failure_reason")
+    return named(stress.judge(*g3_parts(spark, d), stored_daily(spark, d), STRESS), G3_PLAN).select(*CK, *L3_D, "layer3_pass", "failure_reason")
 
 
 # --- gate 4 (carry: few, long trades) ------------------------------------------------
@@ -456,12 +457,10 @@ def deflated_moments(spark, d):
     return resample.moments(named(g4_book(spark, d)[1], L4_PLAN))
 
 
-# The trial count is the whole population of the run, not the tested part of it.
-TRIAL_COUNT = sum(len(s.combinations()) for s in REGISTRY.values())
-
-
-def _dsr(book):
-    return resample.deflated_sharpe(resample.moments(book), F.lit(TRIAL_COUNT))
+def _dsr(spark, d, book):
+    """The trial count is the whole routed population of the run, not the tested part of it."""
+    trials = cand.population(spark, universe(spark, d)).agg(F.count("*").alias("trials"))
+    return resample.deflated_sharpe(resample.moments(book), trials)
 
 
 STAT = "(dsr_period_sharpe - dsr_benchmark_sharpe) / dsr_sharpe_standard_error"
@@ -469,21 +468,18 @@ DSR_E = ("dsr_sharpe_standard_error", "dsr_benchmark_sharpe", "test_statistic")
 
 
 def gate4_verdict(tag: str) -> dict[str, str]:
-    """Verdicts in SQL: the probability bound as a bound on the normal statistic."""
-    inv = NormalDist().inv_cdf
-    g = resample.EULER_GAMMA
-    best = (1 - g) * inv(1 - 1 / TRIAL_COUNT) + g * inv(1 - 1 / (TRIAL_COUNT * math.e))
+    """Verdicts in SQL."""
     r = TRIALS
     spread = "(1 - dsr_skewness * dsr_period_sharpe + (dsr_kurtosis - 1) / 4 * dsr_period_sharpe * dsr_period_sharpe)"
     checks = fails(
         permutation_p_value=f"permutation_p_value < {r.maximum_p_value}", bootstrap_trade_count=f"bootstrap_trade_count >= {r.minimum_trades}",
         bootstrap_drawdown_p95=f"bootstrap_drawdown_p95 <= {r.maximum_drawdown_p95}",
         bootstrap_probability_negative_return=f"bootstrap_probability_negative_return < {r.maximum_probability_negative}",
-        deflated_sharpe_probability=f"test_statistic >= {inv(r.minimum_dsr_probability)!r}",
+        deflated_sharpe_probability=f"dsr_probability >= {r.minimum_dsr_probability}",
     )
     reasons = f"CASE WHEN bootstrap_count IS NULL THEN 'No valid trade returns available.' ELSE {checks} END"
     return {
-        f"{tag}_dsr": f"SELECT *, {STAT} AS test_statistic FROM (SELECT *, dsr_sharpe_standard_error * {best!r} AS dsr_benchmark_sharpe FROM (SELECT *, CASE WHEN {spread} > 0 THEN sqrt({spread} / (dsr_observation_count - 1)) END AS dsr_sharpe_standard_error FROM {tag}_mom))",
+        f"{tag}_dsr": f"SELECT *, {normal.distribution('test_statistic')} AS dsr_probability FROM (SELECT *, {STAT} AS test_statistic FROM (SELECT *, dsr_sharpe_standard_error * ({normal.expected_maximum('dsr_trial_count')}) AS dsr_benchmark_sharpe FROM (SELECT *, CASE WHEN {spread} > 0 THEN sqrt({spread} / (dsr_observation_count - 1)) END AS dsr_sharpe_standard_error FROM {tag}_mom CROSS JOIN (SELECT count(*) AS dsr_trial_count FROM population_t))))",
         f"{tag}_gate": f"SELECT *, {reasons} AS failure_reason, {reasons} = '' AS layer4_pass FROM {tag}_dsr LEFT JOIN {tag}_perm USING ({CKEY}) LEFT JOIN {tag}_boot USING ({CKEY})",
     }
 
@@ -493,26 +489,26 @@ G4V = {**G4, **gate4_verdict("g4")}
 
 @query("deflated_sharpe", f"SELECT {CKEY}, {dbl(*DSR_E)} FROM g4_dsr", G4V)
 def deflated_sharpe(spark, d):
-    return _dsr(named(g4_book(spark, d)[1], L4_PLAN)).select(*CK, *DSR_E[:2], F.expr(STAT).alias("test_statistic"))
+    return _dsr(spark, d, named(g4_book(spark, d)[1], L4_PLAN)).select(*CK, *DSR_E[:2], F.expr(STAT).alias("test_statistic"))
 
 
-@query("deflated_probability")
+@query("deflated_probability", f"SELECT {CKEY}, dsr_trial_count, {dbl('dsr_probability')} FROM g4_dsr", G4V)
 def deflated_probability(spark, d):
-    return _dsr(named(g4_book(spark, d)[1], L4_PLAN)).select(*CK, "dsr_trial_count", "dsr_probability")
+    return _dsr(spark, d, named(g4_book(spark, d)[1], L4_PLAN)).select(*CK, "dsr_trial_count", "dsr_probability")
 
 
 # Trial counts taken from the tables: candidates ever tested per priority and status.
-@query("expected_max_sharpe")
+@query("expected_max_sharpe", f"SELECT family, symbol, trials, {dbl('expected_max')} FROM (SELECT *, {normal.expected_maximum('trials')} AS expected_max FROM (SELECT family, symbol, count(DISTINCT candidate_id) AS trials FROM test_log GROUP BY 1, 2))")
 def expected_max_sharpe(spark, d):
     n = event_rows(spark, d).groupBy("family", "symbol").agg(F.countDistinct("candidate_id").alias("trials"))
-    return n.withColumn("expected_max", resample.expected_maximum(F.col("trials").cast("double")))
+    return n.withColumn("expected_max", F.expr(normal.expected_maximum("trials")))
 
 
 def l4_parts(spark, d):
     bars, book = g4_book(spark, d)
     rows = materialize(named(book, L4_PLAN), "book")
     found = materialize(named(bt.trades(bt.runs(bt.segments(book))), L4_PLAN), "trades")
-    return resample.permutation_test(rows, bars, TRIALS.permutations), resample.trade_bootstrap(found, TRIALS.bootstraps), _dsr(rows)
+    return resample.permutation_test(rows, bars, TRIALS.permutations), resample.trade_bootstrap(found, TRIALS.bootstraps), _dsr(spark, d, rows)
 
 
 @query("l4_gate", f"SELECT {CKEY}, {dbl(*PERM_D, *BOOT_D)}, bootstrap_trade_count, layer4_pass, failure_reason FROM g4_gate", G4V)
@@ -534,7 +530,7 @@ def gate_tables(spark, d):
     l2 = walkforward.gate(bars, L4_FAMILY, parents, FOLDS).select(cid, "layer2_pass")
     book = bt.ledger(positions(bars, L4_PLAN))
     hist = stress.stress_metrics(book, stress.stress_windows(bars, STRESS))
-    l3 = named(stress.judge(hist, stress.synthetic(book, STRESS), STRESS), L4_PLAN).select(cid, "layer3_pass")
+    l3 = named(stress.judge(hist, stress.synthetic(book, STRESS), bars, STRESS), L4_PLAN).select(cid, "layer3_pass")
     l4 = resample.judge(*l4_parts(spark, d)).select(cid, "layer4_pass")
     return l1, l2, l3, l4
 

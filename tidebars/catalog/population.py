@@ -23,7 +23,7 @@ def universe(spark, d):
 
 
 def fmt(x: str) -> str:
-    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE replace(replace(rtrim(printf('%.6f', {x}), '0'), '.', 'p'), '-', 'm') END"
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE replace(replace(printf('%.6g', {x}), '.', 'p'), '-', 'm') END"
 
 
 def _grid_sql() -> str:

@@ -16,8 +16,9 @@ from tidebars.operators.panel import Panel
 
 
 def num(value: float) -> str:
-    """A parameter value as part of a column name."""
-    return f"{value:g}".replace(".", "p").replace("-", "m")
+    """A parameter value as part of a column name or candidate id: whole numbers as they are, others with six significant digits."""
+    text = str(int(value)) if float(value).is_integer() else f"{value:g}"
+    return text.replace(".", "p").replace("-", "m")
 
 
 def full(p: Panel, n: int, col: str | Column, agg: Column, seed: int | None) -> Column:
@@ -225,10 +226,12 @@ def rsi(p: Panel, n: int) -> Panel:
     p = p.add(
         _gain=F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))),
         _loss=F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))),
+        _fell=F.when(d.isNotNull(), (d < 0).cast("double")),
     )
     p = sma(sma(p, "_gain", n, f"_ag_{n}", seed=1), "_loss", n, f"_al_{n}", seed=1)
-    # Losses are never negative, so a mean below rounding noise is a window without any.
-    loss = F.when(F.col(f"_al_{n}") > 1e-11, F.col(f"_al_{n}"))
+    # Means are differences of running sums; whether a window has a loss at all is counted, and counts are exact.
+    p = sma(p, "_fell", n, f"_fl_{n}", seed=1)
+    loss = F.when(F.col(f"_fl_{n}") * n > 0.5, F.col(f"_al_{n}"))
     return p.add(**{f"rsi_{n}": 100 - 100 / (1 + F.col(f"_ag_{n}") / loss)})
 
 

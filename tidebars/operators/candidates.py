@@ -36,11 +36,12 @@ def expand_grid(table: DataFrame) -> DataFrame:
 
 
 def format_value(x: str) -> str:
-    """SQL: a parameter value as it appears in candidate ids."""
-    return (
-        f"if({x} = floor({x}), cast(cast({x} as bigint) as string), "
-        f"replace(replace(rtrim('0', format_string('%.6f', {x})), '.', 'p'), '-', 'm'))"
-    )
+    """SQL: a parameter value as it appears in candidate ids: whole numbers as they are, others with six significant digits.
+
+    The same text as ``num`` gives in Python.
+    """
+    short = f"regexp_replace(regexp_replace(format_string('%.6g', {x}), '0+(e|$)', '$1'), '[.](e|$)', '$1')"
+    return f"if({x} = floor({x}), cast(cast({x} as bigint) as string), replace(replace({short}, '.', 'p'), '-', 'm'))"
 
 
 def params_key(params: str = "params") -> Column:
@@ -54,20 +55,24 @@ def with_candidate_id(df: DataFrame) -> DataFrame:
     return df.withColumn("params_key", params_key()).withColumn("candidate_id", F.concat_ws("__", "family", "symbol", "params_key"))
 
 
+def tradable(universe: Column) -> Column:
+    """Whether a series (kind, sec_type, what_to_show) belongs to the universe of a family."""
+    c = F.col
+    single = c("kind") == "single"
+    return (
+        F.when(universe == "pairs", c("kind") == "pair")
+        .when(universe == "cash", single & (c("sec_type") == "CASH"))
+        .when(universe == "real_volume", single & (c("what_to_show") == "TRADES"))
+        .otherwise(single)
+    )
+
+
 def population(spark: SparkSession, universe: DataFrame) -> DataFrame:
     """Every grid point on every series its family may trade.
 
     ``universe``: symbol, kind (``single`` or ``pair``), sec_type, what_to_show.
     """
-    fam, c = families(spark), F.col
-    single = c("kind") == "single"
-    routed = (
-        F.when(c("universe") == "pairs", c("kind") == "pair")
-        .when(c("universe") == "cash", single & (c("sec_type") == "CASH"))
-        .when(c("universe") == "real_volume", single & (c("what_to_show") == "TRADES"))
-        .otherwise(single)
-    )
-    pool = universe.join(fam, routed).select("family", "symbol", "options")
+    pool = universe.join(families(spark), tradable(F.col("universe"))).select("family", "symbol", "options")
     return with_candidate_id(expand_grid(pool))
 
 

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
+from tidebars.functions import normal
 from tidebars.operators import backtest as bt
-from tidebars.operators.pairs import normal_cdf
 from tidebars.plans.gates import failures
 
-EULER_GAMMA = 0.5772156649015329
 
 
 @dataclass(frozen=True)
@@ -159,21 +153,6 @@ def trade_bootstrap(trade_table: DataFrame, count: int = 5000, keys: tuple[str,
 
 
 # --- deflated Sharpe -----------------------------------------------------------------
-@pandas_udf(DoubleType())
-def expected_maximum(trials: pd.Series) -> pd.Series:
-    """Expected maximum of that many standard normal draws (extreme-value form)."""
-    inv = NormalDist().inv_cdf
-    g = EULER_GAMMA
-    value = lambda t: 0.0 if t <= 1 else (1 - g) * inv(1 - 1 / t) + g * inv(1 - 1 / (t * math.e))
-    return trials.map(value).astype(float)
-
-
-@pandas_udf(DoubleType())
-def phi(x: pd.Series) -> pd.Series:
-    """Normal distribution function."""
-    return x.map(lambda v: float("nan") if pd.isna(v) else normal_cdf(v)).astype(float)
-
-
 def moments(book: DataFrame, keys: tuple[str, ...] = ("family", "symbol", "params_key")) -> DataFrame:
     """Per-bar Sharpe with bias-free skewness and (non-excess) kurtosis."""
     x, c = F.col("net_return"), F.col
@@ -194,17 +173,17 @@ def moments(book: DataFrame, keys: tuple[str, ...] = ("family", "symbol", "param
     )
 
 
-def deflated_sharpe(moment_table: DataFrame, trials: Column) -> DataFrame:
-    """Probability that the Sharpe exceeds the best one expected from that many trials."""
+def deflated_sharpe(moment_table: DataFrame, trials: DataFrame) -> DataFrame:
+    """Probability that the Sharpe exceeds the best one expected from that many trials (``trials``: one row, one number)."""
     c, n = F.col, F.col("dsr_observation_count")
     s = c("dsr_period_sharpe")
     spread = 1 - c("dsr_skewness") * s + (c("dsr_kurtosis") - 1) / 4 * s * s
-    df = moment_table.withColumn("_v", F.when(spread > 0, spread)).withColumn("dsr_trial_count", trials.cast("long"))
+    df = moment_table.withColumn("_v", F.when(spread > 0, spread)).crossJoin(F.broadcast(trials.select(F.col("trials").cast("long").alias("dsr_trial_count"))))
     df = df.withColumn("dsr_sharpe_standard_error", F.sqrt(c("_v") / (n - 1)))
-    df = df.withColumn("dsr_benchmark_sharpe", c("dsr_sharpe_standard_error") * expected_maximum(c("dsr_trial_count").cast("double")))
+    df = df.withColumn("dsr_benchmark_sharpe", c("dsr_sharpe_standard_error") * F.expr(normal.expected_maximum("dsr_trial_count")))
     stat = (s - c("dsr_benchmark_sharpe")) * F.sqrt(n - 1) / F.sqrt("_v")
-    prob = phi(stat)
-    return df.withColumn("dsr_probability", F.when(~F.isnan(prob), prob)).drop("_v")
+    df = df.withColumn("_z", stat).withColumn("dsr_probability", F.expr(normal.distribution("_z")))
+    return df.drop("_v", "_z")
 
 
 def judge(perm: DataFrame, boot: DataFrame, dsr: DataFrame, keys: tuple[str, ...] = ("family", "symbol", "params_key"), r: Resampling = Resampling()) -> DataFrame:

@@ -79,7 +79,7 @@ def worst_windows(rolling: DataFrame, s: Stress = Stress()) -> DataFrame:
 def stress_windows(bars: DataFrame, s: Stress = Stress()) -> DataFrame:
     """The fixed window and the worst ones of each series, ends inclusive."""
     worst = worst_windows(rolling_compound(daily_returns(bars), s.window_days), s)
-    fixed = worst.select("symbol").distinct().select(
+    fixed = bars.select("symbol").distinct().select(
         "symbol",
         F.lit("fixed").alias("stress_id"),
         F.lit("fixed_historical").alias("stress_type"),
@@ -122,12 +122,11 @@ def synthetic(book: DataFrame, s: Stress = Stress()) -> DataFrame:
     return _short(bt.metrics(bt.runs(bt.segments(stressed, returns=("net",)), returns=("net",)), returns=("net",)))
 
 
-def judge(historical: DataFrame, synth: DataFrame, s: Stress = Stress()) -> DataFrame:
-    """A fixed window before the series starts does not count; missing worst windows fail."""
+def judge(historical: DataFrame, synth: DataFrame, bars: DataFrame, s: Stress = Stress()) -> DataFrame:
+    """A fixed window that ends before a series starts does not count; one without bars fails, as do missing worst windows."""
     c = F.col
     fixed, worst = c("stress_id") == "fixed", c("stress_type") == "worst_market_window"
     per = historical.groupBy("symbol", "cand").agg(
-        F.count_if(fixed).alias("_fixed"),
         F.count_if(worst).alias("_worst"),
         F.max(F.when(fixed, c("net_total_return"))).alias("fixed_net_return"),
         F.max(F.when(fixed, c("net_max_drawdown"))).alias("fixed_max_drawdown"),
@@ -140,17 +139,19 @@ def judge(historical: DataFrame, synth: DataFrame, s: Stress = Stress()) -> Data
         c("net_max_drawdown").alias("synthetic_net_max_drawdown"),
         c("terminal_nav").alias("synthetic_terminal_nav"),
     )
-    df = syn.join(per, ["symbol", "cand"], "left")
-    na = F.coalesce(c("_fixed"), F.lit(0)) == 0
-    gone = F.coalesce(c("_worst"), F.lit(0)) == 0
+    first = bars.groupBy("symbol").agg(F.min("ts").alias("_first"))
+    df = syn.join(per, ["symbol", "cand"], "left").join(first, "symbol", "left")
+    na = c("_first") > F.lit(s.fixed_end).cast("timestamp")
+    found = F.coalesce(c("_worst"), F.lit(0))
+    gone = found == 0
     reasons = failures(
         fixed_net_return=na | (c("fixed_net_return") >= s.minimum_fixed_return),
         fixed_drawdown=na | (c("fixed_max_drawdown") >= -abs(s.maximum_fixed_drawdown)),
-        missing_worst_market_windows=~gone,
+        missing_worst_market_windows=found >= s.window_count,
         worst_window_net_return=gone | (c("worst_historical_net_return") >= s.minimum_worst_return),
         worst_window_drawdown=gone | (c("worst_historical_max_drawdown") >= -abs(s.maximum_worst_drawdown)),
         synthetic_total_return=c("synthetic_net_total_return") >= s.minimum_synthetic_return,
         synthetic_drawdown=c("synthetic_net_max_drawdown") >= -abs(s.maximum_synthetic_drawdown),
         synthetic_terminal_nav=c("synthetic_terminal_nav") >= s.minimum_synthetic_nav,
     )
-    return df.withColumns({"layer3_pass": F.size(reasons) == 0, "failure_reason": F.array_join(reasons, ";")}).drop("_fixed", "_worst")
+    return df.withColumns({"layer3_pass": F.size(reasons) == 0, "failure_reason": F.array_join(reasons, ";")}).drop("_first", "_worst")

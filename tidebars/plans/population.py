@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidebars.operators import backtest as bt
+from tidebars.operators.candidates import tradable
 from tidebars.operators.positions import named, positions
 from tidebars.plans.families import REGISTRY, Params
 
@@ -33,9 +34,10 @@ PANELS = (
 def panel_groups(families: list[str] | None = None) -> list[list[tuple[str, Params]]]:
     groups = []
     for names in PANELS:
-        group = [(f, p) for f in names if families is None or f in families for p in REGISTRY[f].combinations()]
-        if group:
-            groups.append(group)
+        for kind in sorted({REGISTRY[f].universe for f in names}):
+            group = [(f, p) for f in names if REGISTRY[f].universe == kind and (families is None or f in families) for p in REGISTRY[f].combinations()]
+            if group:
+                groups.append(group)
     return groups
 
 
@@ -44,12 +46,19 @@ def grid_backtest(
     pairs: DataFrame | None = None,
     families: list[str] | None = None,
     commission_bps: float = bt.COMMISSION_BPS,
+    universe: DataFrame | None = None,
 ) -> DataFrame:
-    """Metrics of every family x grid point x series of numbered, stored bars."""
+    """Metrics of every family x grid point x series of numbered, stored bars.
+
+    With ``universe`` (symbol, kind, sec_type, what_to_show) a family runs on the series it may trade only.
+    """
     parts = []
     for group in panel_groups(families):
-        bars = pairs if REGISTRY[group[0][0]].universe == "pairs" else single
+        kind = REGISTRY[group[0][0]].universe
+        bars = pairs if kind == "pairs" else single
         if bars is not None:
+            if universe is not None:
+                bars = bars.join(universe.where(tradable(F.lit(kind))).select("symbol"), "symbol", "left_semi")
             book = bt.ledger(positions(bars, group), commission_bps)
             parts.append(named(bt.metrics(bt.runs(bt.segments(book))), group))
     return reduce(DataFrame.unionByName, parts)

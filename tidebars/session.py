@@ -53,9 +53,8 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def fan_out(spark: SparkSession) -> int:
-    """Partitions for steps that multiply rows: as configured, but not far beyond the cores."""
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(configured, 4 * spark.sparkContext.defaultParallelism))
+    """Partitions for steps that multiply rows: the configured number, which must not be merged by the size rows have before."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
