@@ -78,9 +78,10 @@ SELECT *, row_number() OVER (PARTITION BY {WIN} ORDER BY p DESC NULLS LAST, trad
 SELECT family, symbol, parent_key, count(*) AS neighbor_count, CAST(count_if(net_total_return > 0 AND net_sharpe IS NOT NULL) AS BIGINT) AS positive_neighbor_count,
   median(net_sharpe) AS median_neighbor_sharpe, min(net_sharpe) AS worst_neighbor_sharpe
 FROM {tag}_perf JOIN {tag}_links USING (params_key) GROUP BY 1, 2, 3)"""
-    reasons = "concat_ws(';', nullif(performance_failures, ''), nullif(coalesce(sensitivity_failures, 'no_valid_neighbors'), ''))"
-    out[f"{tag}_gate"] = f"""SELECT p.*, n.* EXCLUDE (family, symbol, parent_key), {reasons} AS failure_reason, {reasons} = '' AS layer1_pass
-FROM {tag}_perf p JOIN {tag}_parents USING (params_key) LEFT JOIN {tag}_near n ON n.family = p.family AND n.symbol = p.symbol AND n.parent_key = p.params_key"""
+    reasons = "CASE WHEN performance_failures IS NULL THEN 'no_oos_observations' ELSE concat_ws(';', nullif(performance_failures, ''), nullif(coalesce(sensitivity_failures, 'no_valid_neighbors'), '')) END"
+    out[f"{tag}_gate"] = f"""SELECT c.*, p.* EXCLUDE (family, symbol, params_key), n.* EXCLUDE (family, symbol, parent_key), {reasons} AS failure_reason, {reasons} = '' AS layer1_pass
+FROM (SELECT '{family}' AS family, symbol, params_key FROM (SELECT DISTINCT symbol FROM daily_no), {tag}_parents) c LEFT JOIN {tag}_perf p ON p.symbol = c.symbol AND p.params_key = c.params_key
+LEFT JOIN {tag}_near n ON n.symbol = c.symbol AND n.parent_key = c.params_key"""
     return out
 
 
@@ -200,7 +201,9 @@ FROM {tag}_cmet m JOIN (SELECT family, symbol, parent_key, count(*) AS completed
         minimum_oos_return=f"walkforward_net_total_return > {p.minimum_return}", minimum_oos_sharpe=f"walkforward_net_sharpe >= {p.minimum_sharpe}",
         minimum_oos_trades=f"total_test_trades >= {p.minimum_trades}", minimum_profitable_fold_share=f"profitable_fold_share >= {p.minimum_profitable_fold_share}",
     )
-    out[f"{tag}_gate"] = f"SELECT *, {reasons} AS failure_reason, {reasons} = '' AS layer2_pass, split_part({reasons}, ';', 1) AS primary_failure_reason FROM {tag}_agg"
+    reasons = f"CASE WHEN completed_folds IS NULL THEN 'no_completed_folds' ELSE {reasons} END"
+    listed = f"(SELECT '{family}' AS family, symbol, params_key FROM (SELECT DISTINCT symbol FROM daily_no), {tag}_parents) LEFT JOIN {tag}_agg USING (family, symbol, params_key)"
+    out[f"{tag}_gate"] = f"SELECT *, {reasons} AS failure_reason, {reasons} = '' AS layer2_pass, split_part({reasons}, ';', 1) AS primary_failure_reason FROM {listed}"
     return out
 
 
@@ -260,7 +263,7 @@ AGG_D = ("walkforward_net_sharpe", "walkforward_net_total_return", "walkforward_
 AGG_I = ("walkforward_observation_count", "completed_folds", "positive_folds", "total_test_trades", "selection_unique_count", "fallback_fold_count")
 
 
-@query("wf_aggregate", f"SELECT {CKEY}, {dbl(*AGG_D)}, {', '.join(AGG_I)}, selected_by_fold FROM g2_agg", G2)
+@query("wf_aggregate", f"SELECT {CKEY}, {dbl(*AGG_D)}, {', '.join(AGG_I)}, selected_by_fold FROM g2_gate", G2)
 def wf_aggregate(spark, d):
     return walkforward.gate(stored_daily(spark, d), FAMILY, PARENTS, FOLDS).select(*CK, *AGG_D, *AGG_I, "selected_by_fold")
 

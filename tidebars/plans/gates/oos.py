@@ -10,7 +10,7 @@ from tidebars.operators import backtest as bt
 from tidebars.operators.candidates import variant_plan
 from tidebars.operators.positions import named, positions
 from tidebars.plans.families import Params
-from tidebars.plans.gates import failures, links_table
+from tidebars.plans.gates import every_candidate, failures, links_table
 
 TOP_TRADES = 5
 
@@ -105,11 +105,14 @@ def neighbor_metrics(bars: DataFrame, family: str, parents: list[Params], split:
 
 
 def gate(bars: DataFrame, family: str, parents: list[Params], split: Split, c: Criteria = Criteria()) -> DataFrame:
+    """Verdict of every parent on every series; one without out-of-sample bars fails for that."""
     oos, links, plan = neighbor_metrics(bars, family, parents, split)
     near = sensitivity(oos, links, c)
     own = performance(oos, c).filter(F.col("cand") < len(parents))
     none = F.array(F.lit("no_valid_neighbors"))
-    joined = own.join(near.withColumnRenamed("parent", "cand"), ["symbol", "cand"], "left")
-    reasons = F.concat("performance_failures", F.coalesce("sensitivity_failures", none))
+    listed = every_candidate(bars, len(parents)).join(own, ["symbol", "cand"], "left")
+    joined = listed.join(near.withColumnRenamed("parent", "cand"), ["symbol", "cand"], "left")
+    unseen = F.array(F.lit("no_oos_observations"))
+    reasons = F.coalesce(F.concat("performance_failures", F.coalesce("sensitivity_failures", none)), unseen)
     out = joined.withColumns({"layer1_pass": F.size(reasons) == 0, "failure_reason": F.array_join(reasons, ";")})
     return named(out, plan)

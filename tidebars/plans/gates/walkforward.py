@@ -10,7 +10,7 @@ from tidebars.operators import backtest as bt
 from tidebars.operators.candidates import variant_plan
 from tidebars.operators.positions import named, positions
 from tidebars.plans.families import REGISTRY, Params
-from tidebars.plans.gates import failures, links_table
+from tidebars.plans.gates import every_candidate, failures, links_table
 from tidebars.session import materialize
 
 WEEK = 7 * 86400
@@ -170,8 +170,9 @@ def aggregate(segs: DataFrame, results: DataFrame, labels: list[str], p: Plan =
 
 
 def judge(agg: DataFrame, p: Plan = Plan()) -> DataFrame:
+    """A candidate whose series is too short for a single fold fails for that."""
     c = F.col
-    reasons = F.array_sort(
+    reasons = F.when(c("completed_folds").isNull(), F.array(F.lit("no_completed_folds"))).otherwise(F.array_sort(
         failures(
             minimum_completed_folds=c("completed_folds") >= p.minimum_completed_folds,
             minimum_oos_sharpe=c("walkforward_net_sharpe") >= p.minimum_sharpe,
@@ -180,7 +181,7 @@ def judge(agg: DataFrame, p: Plan = Plan()) -> DataFrame:
             minimum_oos_trades=c("total_test_trades") >= p.minimum_trades,
             maximum_drawdown=c("walkforward_net_max_drawdown") >= -abs(p.maximum_drawdown),
         )
-    )
+    ))
     return agg.withColumns(
         {
             "layer2_pass": F.size(reasons) == 0,
@@ -202,5 +203,6 @@ def gate(numbered: DataFrame, family: str, parents: list[Params], p: Plan = Plan
     labels = [REGISTRY[f].candidate_key(v) for f, v in plan]
     # A list of folds is small; the metrics behind it are read three times.
     results = materialize(fold_results(segs, links, p), "results")
-    out = judge(aggregate(segs, results, labels, p), p)
+    listed = every_candidate(numbered, len(parents)).withColumnRenamed("cand", "parent")
+    out = judge(listed.join(aggregate(segs, results, labels, p), ["symbol", "parent"], "left"), p)
     return named(out.withColumnRenamed("parent", "cand"), plan)

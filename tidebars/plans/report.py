@@ -14,7 +14,7 @@ def final_funnel(l1: DataFrame, l2: DataFrame, l3: DataFrame, l4: DataFrame) ->
     """One row per candidate with all four decisions; a missing decision is a fail."""
     df = l1.select("candidate_id", "family", "symbol", "layer1_pass")
     for i, other in zip((2, 3, 4), (l2, l3, l4)):
-        df = df.join(other.select("candidate_id", f"layer{i}_pass"), "candidate_id")
+        df = df.join(other.select("candidate_id", f"layer{i}_pass"), "candidate_id", "left")
     df = df.withColumns({p: F.coalesce(p, F.lit(False)) for p in PASSES})
     return df.withColumn("final_pass", reduce(lambda a, b: a & b, [F.col(p) for p in PASSES]))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,23 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "tidebar
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per context, so that they need not start in its folder.
+
+    The archive is built where the driver runs; Spark serves it to the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidebars_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidebars-")) / "tidebars.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._tidebars_shipped = True
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the folder all executors share.
 
