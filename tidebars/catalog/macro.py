@@ -29,9 +29,7 @@ _differential("asof_term_slope", "term_slope_differential")
 
 @query("asof_global_series", f"SELECT symbol, ts, {dbl('vix_level')} FROM daily_macro")
 def asof_global_series(spark, d):
-    bars = _bars(spark, d)
-    facts = asof.gauge_facts(ticks.macro(spark, d), bars.select("symbol").distinct())
-    return asof.asof_join(bars, facts, ("vix_level",)).select("symbol", "ts", "vix_level")
+    return asof.with_gauge(_bars(spark, d), ticks.macro(spark, d)).select("symbol", "ts", "vix_level")
 
 
 @query(

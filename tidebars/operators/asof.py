@@ -71,10 +71,18 @@ def differentials(macro: DataFrame) -> DataFrame:
     )
 
 
-def gauge_facts(macro: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The global series repeated per symbol, so it joins by key like the others."""
-    gauge = macro.filter(F.col("series_id") == "GAUGE").select("date", F.col("value").alias("vix_level"))
-    return gauge.join(F.broadcast(symbols), F.lit(True))
+def with_gauge(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """Attach the global daily series: carried forward once over the calendar, then joined by day.
+
+    The calendar (days that have bars or a value, of all symbols together) is the only
+    thing ordered as a whole; a century of it is 36 500 rows.
+    """
+    day = F.date_trunc("day", F.col("ts"))
+    value = macro.filter(F.col("series_id") == "GAUGE").groupBy(F.date_trunc("day", "date").alias("_day")).agg(F.max_by("value", "date").alias("vix_level"))
+    days = bars.select(day.alias("_day")).distinct().withColumn("_asked", F.lit(True))
+    w = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    filled = days.join(value, "_day", "full_outer").withColumn("vix_level", F.last("vix_level", True).over(w)).filter("_asked").drop("_asked")
+    return bars.withColumn("_day", day).join(filled, "_day", "left").drop("_day")
 
 
 DIFFERENTIALS = ("interest_rate_differential", "real_rate_differential", "term_slope_differential")
@@ -82,7 +90,4 @@ DIFFERENTIALS = ("interest_rate_differential", "real_rate_differential", "term_s
 
 def enrich(bars: DataFrame, macro: DataFrame) -> DataFrame:
     """All macro columns at once."""
-    symbols = bars.select("symbol").distinct()
-    gauge = gauge_facts(macro, symbols)
-    facts = differentials(macro).unionByName(gauge, allowMissingColumns=True)
-    return asof_join(bars, facts, (*DIFFERENTIALS, "vix_level"))
+    return with_gauge(asof_join(bars, differentials(macro), DIFFERENTIALS), macro)

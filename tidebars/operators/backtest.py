@@ -19,8 +19,11 @@ CANDIDATE = ("symbol", "cand")
 def ledger(positions: DataFrame, commission_bps: float = COMMISSION_BPS) -> DataFrame:
     """Open-to-open returns net of half the spread and the commission per side traded.
 
-    The last bar of a series has no next open and earns nothing; it is dropped.
+    The last bar of a series has no next open and earns nothing; it is dropped. A bar whose
+    spread is missing or negative stops the run: its cost cannot be computed.
     """
+    spread = F.col("fill_spread_fraction")
+    spread = F.when(spread >= 0, spread).otherwise(F.raise_error(F.lit("fill_spread_fraction is missing or negative")).cast("double"))
     sides = F.abs(F.col("executed") - F.col("before")).cast("double")
     return (
         positions.filter(F.col("next_open").isNotNull())
@@ -29,7 +32,7 @@ def ledger(positions: DataFrame, commission_bps: float = COMMISSION_BPS) -> Data
             {
                 "position_change": F.col("executed") - F.col("before"),
                 "gross_return": F.col("executed") * F.col("open_to_open_return"),
-                "spread_cost": sides * (F.col("fill_spread_fraction") / 2),
+                "spread_cost": sides * (spread / 2),
                 "commission_cost": sides * F.lit(commission_bps / 1e4),
             }
         )

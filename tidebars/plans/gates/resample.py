@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from tidebars.functions import normal
 from tidebars.operators import backtest as bt
 from tidebars.plans.gates import failures
+from tidebars.session import fan_out
 
 
 
@@ -115,29 +116,42 @@ def permutation_test(book: DataFrame, numbered: DataFrame, count: int = 2000, ke
 
 
 # --- trade bootstrap -----------------------------------------------------------------
+REPLICATES_PER_TASK = 100
+
+
 def trade_bootstrap(trade_table: DataFrame, count: int = 5000, keys: tuple[str, ...] = ("family", "symbol", "params_key")) -> DataFrame:
     """Trade sequences redrawn with replacement: total return and drawdown from NAV 1.
 
-    Draws are spread by (candidate, replicate). Candidates with a trade at or below
-    -100 %, which cannot be compounded, give no row.
+    A candidate's trades (one list, bounded by its bars) are sent to tasks that redraw a
+    hundred sequences each by looking trades up in the list; what leaves a task is two
+    numbers per sequence. Candidates with a trade at or below -100 %, which cannot be
+    compounded, give no row.
     """
-    w = Window.partitionBy(*keys).orderBy("trade_group")
-    whole = Window.partitionBy(*keys)
-    t = trade_table.select(
+    ordered = F.array_sort(F.collect_list(F.struct("trade_group", "net_trade_return")))
+    lists = trade_table.groupBy(*keys).agg(ordered.alias("t")).select(*keys, F.transform("t", lambda x: x["net_trade_return"]).alias("r"))
+    pieces = lists.filter(F.array_min("r") > -1).select(
         *keys,
-        (F.row_number().over(w) - 1).alias("no"),
-        F.count("*").over(whole).alias("n"),
-        F.min("net_trade_return").over(whole).alias("low"),
-        F.log1p(F.greatest("net_trade_return", F.lit(-1 + 1e-15))).alias("g"),
-    ).filter("low > -1")
-    slots = t.select(*keys, "n", F.col("no").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("rep"))
-    drawn = slots.withColumn("no", (draw(label(), F.lit("boot"), F.col("rep").cast("string"), F.col("slot").cast("string")) % F.col("n")).cast("int"))
-    path = drawn.join(t.select(*keys, "no", "g"), [*keys, "no"])
-    order = Window.partitionBy(*keys, "rep").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("nav", F.sum("g").over(order))
-    path = path.withColumn("down", F.col("nav") - F.greatest(F.max("nav").over(order), F.lit(0.0)))
-    reps = path.groupBy(*keys, "rep").agg(
-        F.expm1(F.sum("g")).alias("total"), F.abs(F.least(F.expm1(F.min("down")), F.lit(0.0))).alias("drawdown"), F.count("*").alias("n")
+        label().alias("label"),
+        F.transform("r", lambda x: F.log1p(F.greatest(x, F.lit(-1 + 1e-15)))).alias("g"),
+        F.explode(F.sequence(F.lit(0), F.lit((count - 1) // REPLICATES_PER_TASK))).alias("piece"),
+    )
+    first = F.col("piece") * REPLICATES_PER_TASK
+    reps = pieces.repartition(fan_out(trade_table.sparkSession), *keys, "piece").select(
+        *keys, "label", "g", F.explode(F.sequence(first + 1, F.least(first + REPLICATES_PER_TASK, F.lit(count)))).alias("rep")
+    )
+    n = F.size("g")
+    pick = lambda slot: F.get("g", (draw(F.col("label"), F.lit("boot"), F.col("rep").cast("string"), slot.cast("string")) % n).cast("int"))
+    paths = reps.select(*keys, n.alias("n"), F.transform(F.sequence(F.lit(0), n - 1), pick).alias("path"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("nav"), zero.alias("peak"), zero.alias("down"))
+
+    def step(s, g):
+        nav = s["nav"] + g
+        peak = F.greatest(s["peak"], nav)
+        return F.struct(nav.alias("nav"), peak.alias("peak"), F.least(s["down"], nav - peak).alias("down"))
+
+    reps = paths.select(*keys, "n", F.aggregate("path", start, step).alias("e")).select(
+        *keys, "n", F.expm1("e.nav").alias("total"), F.abs(F.least(F.expm1("e.down"), zero)).alias("drawdown")
     )
     q = lambda col, p: F.percentile(col, F.lit(p))
     return reps.groupBy(*keys).agg(
