@@ -55,3 +55,23 @@ def test_symbol_folders_are_pruned(spark, ohlc):
     assert got.count() == 50
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     assert "(symbol" in store.scan_bars(spark, path, ["Y"])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
+def test_top_up_rewrites_only_the_months_it_touches(spark, tmp_path):
+    """Months before the overlap keep their files; symbols that are new are added."""
+    days = pd.date_range("2024-01-01", periods=100, freq="D")
+    rows = pd.DataFrame({"symbol": "X", "ts": days, "close": 1.0})
+    path = str(tmp_path / "bars")
+    store.write_bars(spark.createDataFrame(rows), path)
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "bars").rglob("*.parquet")}
+    later = pd.date_range("2024-03-20", periods=40, freq="D")
+    more = pd.concat([pd.DataFrame({"symbol": s, "ts": later, "close": 2.0}) for s in ("X", "NEW")])
+    incoming = spark.createDataFrame(more)
+    store.top_up_stored(spark, path, incoming, F.lit("2020-01-01").cast("timestamp"))
+    out = store.scan_bars(spark, path, schema=incoming.schema).toPandas()
+    x = out[out.symbol == "X"].set_index("ts").close
+    last = days[-1] - pd.Timedelta(hours=72)
+    assert len(x) == len(set(days) | set(later)) and all(v == (2.0 if t >= last else 1.0) for t, v in x.items())
+    assert (out.symbol == "NEW").sum() == 40
+    after = {str(f) for f in (tmp_path / "bars").rglob("*.parquet")}
+    assert {f for f in before if "symbol=X/month=2024-01" in f or "symbol=X/month=2024-02" in f or "symbol=X/month=2024-03" in f} <= after

@@ -45,7 +45,7 @@ def scan_bars(spark, d):
 @query("sink_bars_roundtrip", f"SELECT {BAR_SELECT} FROM bars_d")
 def sink_bars_roundtrip(spark, d):
     path = shared_folder(spark, "bars")
-    store.write_bars(ticks.daily_bars(spark, d), path, files_per_symbol=4)
+    store.write_bars(ticks.daily_bars(spark, d), path)
     return store.scan_bars(spark, path).select(*bar_schema())
 
 
@@ -125,18 +125,19 @@ UNION ALL SELECT symbol, ts, close + 1 FROM bars_h WHERE ts >= TIMESTAMP '2024-0
 )
 def incremental_topup(spark, d):
     bars = materialize(ticks.hourly_bars(spark, d).select("symbol", "ts", "close"), "bars")
-    stored = bars.filter(F.col("ts") < "2024-01-20")
-    incoming = bars.withColumn("close", F.col("close") + 1)
-    return store.top_up(stored, incoming, F.lit("2024-01-01").cast("timestamp"))
+    path = shared_folder(spark, "stored")
+    store.write_bars(bars.filter(F.col("ts") < "2024-01-20"), path)
+    store.top_up_stored(spark, path, bars.withColumn("close", F.col("close") + 1), F.lit("2024-01-01").cast("timestamp"))
+    return store.scan_bars(spark, path, schema=bars.schema)
 
 
 @query(
     "join_price_spread",
-    f"SELECT symbol, ts, {dbl('close', 'fill_spread_fraction')} FROM bars_h WHERE trade_count > 1",
+    f"SELECT symbol, ts, {dbl('close', 'fill_spread_fraction')} FROM bars_h",
 )
 def join_price_spread(spark, d):
     bars = materialize(ticks.hourly_bars(spark, d), "bars")
-    spreads = bars.filter("trade_count > 1").select("symbol", "ts", "fill_spread_fraction")
+    spreads = bars.select("symbol", "ts", "fill_spread_fraction")
     return store.join_price_spread(bars.select("symbol", "ts", "close"), spreads)
 
 

@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidebars import schemas
 from tidebars.operators.quality import keep_last
+from tidebars.session import materialize
 
 OVERLAP_HOURS = 72
 
 
-def write_bars(bars: DataFrame, path: str, mode: str = "overwrite", files_per_symbol: int = 1) -> None:
-    """One folder per symbol, rows in time order inside each file.
+def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One folder per symbol and month, rows in time order inside each file.
 
-    ``files_per_symbol`` spreads a heavy symbol over several writers by calendar month.
+    Each (symbol, month) has a writer of its own, so a heavy symbol is written by many tasks. With dynamic overwrite only
+    the months that ``bars`` holds are replaced.
     """
-    part = F.pmod(F.month("ts"), F.lit(files_per_symbol))
     (
-        bars.repartition("symbol", part)
-        .sortWithinPartitions("symbol", "ts")
+        bars.withColumn("month", F.date_format("ts", "yyyy-MM"))
+        .repartition("symbol", "month")
+        .sortWithinPartitions("symbol", "month", "ts")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("symbol")
+        .partitionBy("symbol", "month")
         .parquet(path)
     )
 
 
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    fields = [f for f in schema.fields if f.name not in ("symbol", "month")]
+    return spark.read.schema(T.StructType([*fields, T.StructField("symbol", T.StringType()), T.StructField("month", T.StringType())])).parquet(path)
+
+
 def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, schema=schemas.BARS) -> DataFrame:
-    """Bars from a symbol-partitioned folder; a symbol list prunes whole folders."""
-    df = spark.read.schema(schema).parquet(path)
-    return df.filter(F.col("symbol").isin(symbols)) if symbols else df
+    """Bars from a folder written by ``write_bars``; a symbol list prunes whole folders."""
+    df = _stored(spark, path, schema)
+    return (df.filter(F.col("symbol").isin(symbols)) if symbols else df).select(*[f.name for f in schema.fields])
 
 
 def decode_series(payloads: DataFrame, body: str = "payload") -> DataFrame:
@@ -72,6 +79,24 @@ def top_up(stored: DataFrame, incoming: DataFrame, floor: Column, overlap_hours:
     return keep_last(stored.withColumn("ingest_seq", F.lit(0)).unionByName(fresh)).drop("_copies", "ingest_seq")
 
 
+def top_up_stored(spark: SparkSession, path: str, incoming: DataFrame, floor: Column, overlap_hours: int = OVERLAP_HOURS) -> None:
+    """``top_up`` in place: only months from the overlap on are read, merged and rewritten.
+
+    The newest month of each symbol comes from the folder names, its last bar from that month's files alone.
+    """
+    schema = incoming.schema
+    names = [f.name for f in schema.fields]
+    stored = _stored(spark, path, schema)
+    newest = stored.select("symbol", "month").groupBy("symbol").agg(F.max("month").alias("month"))
+    last = stored.join(newest, ["symbol", "month"]).groupBy("symbol").agg(F.max("ts").alias("last"))
+    start = F.coalesce(F.greatest(floor, F.col("last") - F.expr(f"interval {overlap_hours} hours")), floor)
+    begin = materialize(last.select("symbol", start.alias("begin"), F.date_format(start, "yyyy-MM").alias("first_month")), "begin")
+    touched = stored.join(begin, "symbol").filter("month >= first_month").select(*names, F.lit(0).alias("ingest_seq"))
+    fresh = incoming.join(begin, "symbol", "left").filter(F.col("ts") >= F.coalesce("begin", floor)).select(*names, F.lit(1).alias("ingest_seq"))
+    merged = keep_last(touched.unionByName(fresh)).select(*names)
+    write_bars(materialize(merged, "merged"), path)
+
+
 def join_price_spread(prices: DataFrame, spreads: DataFrame) -> DataFrame:
     return prices.join(spreads, ["symbol", "ts"])
 
