@@ -49,9 +49,13 @@ def words_of(text: str) -> list[str]:
 
 
 class Automaton:
-    """All words within their edit bound of a term, as a table that grows as words are read."""
+    """All words within their edit bound of a term, as a table that grows as words are read.
 
-    def __init__(self, terms: list[str], limit: int = 200_000):
+    A place is a trie node with the edits so far, as ``4 * node + edits``; a state is a set of places. States are forgotten
+    when they hold ``limit`` places together.
+    """
+
+    def __init__(self, terms: list[str], limit: int = 1_500_000):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.bound = [0]  # most edits that any term below allows
@@ -73,6 +77,7 @@ class Automaton:
         self.clear()
 
     def clear(self) -> None:
+        self.size = 0
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
@@ -91,12 +96,13 @@ class Automaton:
                 if e + 1 <= self.bound[child] and e + 1 < places.get(child, 99):
                     places[child] = e + 1
                     todo.append((child, e + 1))
-        key = tuple(sorted(places.items()))
+        key = tuple(sorted(4 * n + e for n, e in places.items()))
         if key not in self.numbers:
+            self.size += 10 + len(key)
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            best = min(((e, self.term[n]) for n, e in key if self.term[n] is not None and e <= edits_for(self.term[n])), default=None)
+            best = min(((e, self.term[n]) for n, e in places.items() if self.term[n] is not None and e <= edits_for(self.term[n])), default=None)
             self.ends.append((best[1], best[0]) if best else None)
         return self.numbers[key]
 
@@ -107,7 +113,8 @@ class Automaton:
             if e <= self.bound[node] and e < places.get(node, 99):
                 places[node] = e
 
-        for node, e in self.states[state]:
+        for place in self.states[state]:
+            node, e = divmod(place, 4)
             for letter, child in self.children[node].items():
                 reach(child, e + (letter != c))
             reach(node, e + 1)
@@ -116,7 +123,7 @@ class Automaton:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The term nearest to ``word`` within the bounds, and its distance."""
-        if len(self.states) > self.limit:
+        if self.size > self.limit:
             self.clear()
         s = self.start
         for c in word:
@@ -165,6 +172,7 @@ class Matcher:
     def hits(self, text: str) -> tuple[list[str], list[tuple[int, float, bool, str, bool]]]:
         """Words, and (place, weight, near?, term, quoted?) of every hit."""
         words = words_of(text)
+        self.seen.trim()
         look = self.seen.__getitem__
         at = [i for i, w in enumerate(words) if look(w)]
         if not at:
@@ -175,7 +183,6 @@ class Matcher:
         for i in at:
             a, b = spans[max(0, i - CONTEXT)][0], spans[min(len(words) - 1, i + CONTEXT)][1]
             quoted.append(any(q in lower[a : spans[i][0]] for q in _OPENING) and any(q in lower[spans[i][1] : b + 1] for q in "\"'”“»«’"))
-        self.seen.trim()
         return words, [(i, *look(words[i]), q) for i, q in zip(at, quoted, strict=True)]
 
     def features(self, words: list[str], hits: list[tuple[int, float, bool, str, bool]]) -> list[float]:
