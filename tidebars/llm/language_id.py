@@ -54,7 +54,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     total = sum(c["n"] for c in counts.values())
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 3 * dict_bytes / max(1, c["b"])))) for k, c in counts.items()])
     drawn = rows.withColumn("draw", F.xxhash64("text")).where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003)
-    pieces = drawn.select("lang", "draw", F.substring("text", 1, PIECE_BYTES // 2).alias("piece")).distinct().collect()
+    room = F.greatest(F.length("text") - PIECE_BYTES // 2, F.lit(0)) + 1
+    piece = F.substring(F.col("text"), (1 + F.pmod(F.shiftright("draw", 20), room)).cast("int"), F.lit(PIECE_BYTES // 2))  # from anywhere in the text
+    pieces = drawn.select("lang", "draw", piece.alias("piece")).distinct().collect()
     out = {}
     for lang in sorted(counts):
         own = [letters(r["piece"]) for r in sorted((r for r in pieces if r["lang"] == lang), key=lambda r: r["draw"])]
