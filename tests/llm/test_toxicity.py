@@ -59,7 +59,7 @@ def test_misspelled_and_quoted_terms(spark):
     assert {"dreadful", "horrible", "rotten"} <= set(lexicon.terms)
     base = words(999, 40, 400)
     put = lambda *x: " ".join([*base[:20], *x, *base[20:]])
-    rows = [(1, put()), (2, put("dreadful", "you", "horrible")), (3, put("dreadfull", "horible")), (4, put('he said "', "dreadful", '"')), *[(100 + (r[0] or 0), r[1]) for r in edge_rows()]]
+    rows = [(1, put()), (2, put("dreadful", "you", "horrible")), (3, put("dreedful", "horible")), (4, put('he said "', "dreadful", '"')), *[(100 + (r[0] or 0), r[1]) for r in edge_rows()]]
     out = {r.doc_id: r for r in toxicity.score(documents(spark, rows), lexicon).collect()}
     assert out[1].score < 0.5 <= out[2].score and out[2].predicted == 1
     assert out[1].score < out[3].score and out[3].terms == ["dreadful", "horrible"]
