@@ -218,8 +218,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("toxic in (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
-    drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(min(1.0, max_train / max(1, n)) * 1_000_003))
-    texts = id_text(docs, id_col, text_col)
+    # The same draw by id on both sides, so that only drawn texts are shuffled.
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.lit(min(1.0, max_train / max(1, n)) * 1_000_003)
+    drawn, texts = marked.where(draw), id_text(docs, id_col, text_col).where(draw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
