@@ -97,3 +97,12 @@ def test_expected_maximum_grows_with_trials(spark):
     df = spark.createDataFrame([(1.0,), (10.0,), (1000.0,)], "t double")
     out = [r.e for r in df.select(F.expr(normal.expected_maximum("t")).alias("e")).collect()]
     assert out[0] == 0 and 1.5 < out[1] < 1.7 and 3.2 < out[2] < 3.3
+
+
+def test_collinear_legs_are_cointegrated(spark):
+    n, rng = 300, np.random.default_rng(3)
+    b = 100 + np.cumsum(rng.normal(0, 1, n))
+    rows = [(s, i, float(v), 0.0001) for s, leg in (("A", 2 * b + 5), ("B", b)) for i, v in enumerate(leg)]
+    bars = spark.createDataFrame(rows, "symbol string, k long, close double, fill_spread_fraction double").withColumn("ts", F.timestamp_seconds(F.col("k") * 3600))
+    r = pairs.screen(bars.drop("k")).first()
+    assert (r.symbol, r.p_value, r.cointegrated, r.statistic) == ("A_B", 0.0, True, float("-inf"))

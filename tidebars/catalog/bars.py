@@ -79,7 +79,7 @@ def epoch_normalize(spark, d):
     return store.epoch_to_timestamp(e).select("symbol", "ts", "event_id", "value")
 
 
-# Two bars of every 15-minute slot fall together; the one with the larger id stays.
+# Bars of one hour fall together; the one with the largest id stays.
 @query(
     "dedup_keep_last",
     """SELECT symbol, ts, event_id, round(value + 3.7e-8, 6) + 0.0 AS value FROM (

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
 MIN_OVERLAP = 100
+# Fixed value: share of explained variance from which legs count as collinear.
+COLLINEAR = 1 - 100 * math.sqrt(2.220446049250313e-16)
 
 
 def aligned_pairs(bars: DataFrame) -> DataFrame:
@@ -111,6 +113,7 @@ def screen(bars: DataFrame, threshold: float = 0.05, chunk_rows: int = 20000) ->
     s = pair_spread(aligned_pairs(bars)).withColumns(
         {
             "n": F.count("*").over(w),
+            "r2": F.regr_r2("leg_a_close", "leg_b_close").over(w),
             "i": F.row_number().over(w.orderBy("ts")) - 1,
         }
     ).filter(F.col("n") >= MIN_OVERLAP)
@@ -118,7 +121,7 @@ def screen(bars: DataFrame, threshold: float = 0.05, chunk_rows: int = 20000) ->
     own = F.floor(F.col("i") / chunk_rows)
     tail = F.pmod("i", F.lit(chunk_rows)) >= chunk_rows - halo
     chunks = s.select(
-        "symbol", "n", "i", "spread", own.alias("own"),
+        "symbol", "n", "i", "spread", "r2", own.alias("own"),
         F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"),
     )
 
@@ -129,7 +132,7 @@ def screen(bars: DataFrame, threshold: float = 0.05, chunk_rows: int = 20000) ->
         u, i = pdf["spread"].to_numpy(), pdf["i"].to_numpy()
         mine = pdf["own"].to_numpy() == key[1]
         if not mine.any() or len(u) < 2:
-            return pd.DataFrame({"symbol": [], "n": [], "common": [], "ragged": []})
+            return pd.DataFrame({"symbol": [], "n": [], "r2": [], "common": [], "ragged": []})
         d = np.diff(u, prepend=np.nan)
         cols = [d, np.concatenate([[np.nan], u[:-1]])]
         for k in range(1, top + 1):
@@ -142,16 +145,18 @@ def screen(bars: DataFrame, threshold: float = 0.05, chunk_rows: int = 20000) ->
             extra = z[mine & (i >= k + 1) & (i < top + 1)][:, : k + 2]
             ragged[k, : k + 2, : k + 2] = extra.T @ extra
         return pd.DataFrame(
-            {"symbol": [key[0]], "n": [n], "common": [(full.T @ full).ravel()], "ragged": [ragged.ravel()]}
+            {"symbol": [key[0]], "n": [n], "r2": [pdf["r2"].iloc[0]], "common": [(full.T @ full).ravel()], "ragged": [ragged.ravel()]}
         )
 
     grams = chunks.groupBy("symbol", "chunk").applyInPandas(
-        products, "symbol string, n long, common array<double>, ragged array<double>"
+        products, "symbol string, n long, r2 double, common array<double>, ragged array<double>"
     )
 
     def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
         top = lag_order(n)
+        if pdf["r2"].iloc[0] >= COLLINEAR:  # nothing is left of the spread: the legs move as one
+            return pd.DataFrame({"symbol": [key[0]], "observations": [n], "lags": [0], "statistic": [-math.inf], "p_value": [0.0]})
         size = top + 2
         common = np.sum(np.vstack(pdf["common"].to_list()), axis=0).reshape(size, size)
         ragged = np.sum(np.vstack(pdf["ragged"].to_list()), axis=0).reshape(top + 1, size, size)

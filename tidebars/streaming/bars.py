@@ -2,7 +2,8 @@
 
 Results leave through ``foreachBatch`` into the shared folder: each micro-batch writes
 the rows it changed under its own batch number, so a replayed batch overwrites itself,
-and readers keep the newest version of each key. State is bounded by the watermark.
+and readers keep the newest version of each key. State of bars and of de-duplication is bounded by the
+watermark; sessions run in complete mode, which keeps all of them.
 """
 
 from __future__ import annotations
