@@ -38,13 +38,16 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = None
-    while True:
+    while not _stars(now):
         now = materialize(_small(_large(now)), "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one node only and none of these points on: then each star is a component."""
+    split = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    on = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+    return split.union(on).isEmpty()
 
 
 def relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:

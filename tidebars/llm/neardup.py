@@ -6,10 +6,12 @@
    dropped; a class left with fewer than ``match`` of them has no partner. The ``n`` that remain are ordered by how
    often they occur, and only the ``n - match + 1`` rarest (the prefix) are kept: two classes that agree in
    ``match`` coordinates meet under one of those.
-3. Links only matter until documents are in one component, so posting lists are merged in rounds. In the star rounds
-   each list names a hub, each class counts its collisions with the hubs of its lists and is compared with the ones it
-   meets most often; pairs inside one component are skipped. What is left between components is then paired off
-   completely, each pair with its collision count over whole signatures, and those at ``match`` or more are compared.
+3. Links only matter until documents are in one component, so posting lists are merged in rounds, and pairs inside one
+   component are skipped. First each list names its most central class (the one whose coordinates are most shared), and
+   each class is compared with the one of these it meets most often, its hub. Next each list names a class at random.
+   What is left between components is then paired off completely: classes whose hubs are in one component form a group,
+   which is cut into blocks of texts, and those outside its largest component are compared with every block; classes of
+   different groups are paired list by list, where whole signatures must agree in ``match`` coordinates.
 4. Comparison is exact, on the full shingle sets of the two texts.
 
 With 64 coordinates and ``match`` 34 a pair of similarity 0.75 falls below the count with probability 4e-5.
@@ -34,8 +36,7 @@ SHINGLE = 5
 COORDINATES = 64
 MATCH = 34
 PERCENT = 75
-STAR_ROUNDS = 3
-HUBS = 2
+BLOCK_BYTES = 1 << 20
 
 _MULTIPLIERS = mix(np.arange(1, 1 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -103,12 +104,17 @@ def _coordinate_keys(classes: DataFrame) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame, match: int = MATCH) -> DataFrame:
-    """``doc_id``, ``tag``, ``key`` of the rarest shared coordinates of every class that can have a partner."""
+    """``doc_id``, ``tag``, ``key`` of the rarest shared coordinates of every class that can have a partner.
+
+    ``weight`` tells how central a class is: how many others its coordinates are shared with, all together.
+    """
     posts = _coordinate_keys(classes)
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     per_class = posts.join(shared, "key").groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     able = per_class.where(F.size("keys") >= match)
-    return able.select("doc_id", "tag", F.explode(F.slice("keys", 1, F.size("keys") - match + 1)).alias("k")).select("doc_id", "tag", "k.key")
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda total, k: total + k["n"])
+    prefix = F.explode(F.slice("keys", 1, F.size("keys") - match + 1))
+    return able.select("doc_id", "tag", weight.alias("weight"), prefix.alias("k")).select("doc_id", "tag", "weight", "k.key")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -135,34 +141,93 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
-def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return posts.withColumn("label", F.col("doc_id"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     names = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    return posts.join(names, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    return rows.join(names, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
-def _star_pairs(posts: DataFrame, labels: DataFrame | None, seed: int, hubs: int) -> DataFrame:
-    """Each class with the hubs it meets most often, of those in other components."""
-    named = _labelled(posts, labels)
-    draw = F.xxhash64("doc_id", "key", F.lit(seed))
-    hub = named.groupBy("key").agg(F.min(F.struct(draw.alias("d"), F.col("doc_id"), F.col("label"))).alias("hub"))
-    met = named.join(hub, "key").where("label <> hub.label").groupBy("doc_id", F.col("hub.doc_id").alias("v")).agg(F.count("*").alias("n"))
-    best = met.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "v")), asc=False), 1, hubs).alias("best"))
-    return best.select(F.col("doc_id").alias("u"), F.explode("best").alias("b")).select("u", F.col("b.v").alias("v"))
+def hubs(posts: DataFrame) -> DataFrame:
+    """``doc_id`` and ``hub``: the most central class that each class meets most often (it may be the class itself)."""
+    top = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("back"))).alias("top"))
+    met = posts.join(top, "key").groupBy("doc_id", "top").agg(F.count("*").alias("n"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("n", "top.weight", "top.back")).alias("best"))
+    return best.select("doc_id", (-F.col("best.back")).alias("hub"))
 
 
-def _rest_pairs(posts: DataFrame, labels: DataFrame, classes: DataFrame, match: int) -> DataFrame:
-    """All pairs of different components that share a posting and agree in at least ``match`` coordinates."""
+def random_stars(posts: DataFrame, labels: DataFrame, seed: int = 1) -> DataFrame:
+    """Each class with the randomly named class of another component that it meets most often."""
     named = _labelled(posts, labels)
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    draw = F.xxhash64("doc_id", "key", F.lit(seed))
+    top = named.groupBy("key").agg(F.min(F.struct(draw.alias("d"), F.col("doc_id"), F.col("label"))).alias("top"))
+    met = named.join(top, "key").where("label <> top.label").groupBy("doc_id", F.col("top.doc_id").alias("v")).agg(F.count("*").alias("n"))
+    best = met.groupBy("doc_id").agg(F.max(F.struct("n", "v")).alias("best"))
+    return best.select(F.col("doc_id").alias("u"), F.col("best.v").alias("v"))
+
+
+def links_of_one_group(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Similar enough pairs of one group that are in different components, found in cells of two blocks of texts.
+
+    Only classes outside the largest component of a group are compared with all of it, so a pair inside that component is
+    never looked at. A cell counts common shingles exactly, for one text against a whole block at a time, and only links
+    leave it.
+    """
+    rows = _labelled(groups, labels).join(texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id")
+    per = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = per.groupBy("group").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n").select(
+        "group", F.col("main.label").alias("main"),
+        (1 + F.floor(F.col("bytes") / block_bytes)).cast("int").alias("columns"), (1 + F.floor((F.col("bytes") - F.col("main.bytes")) / block_bytes)).cast("int").alias("lines"),
+    )
+    placed = rows.drop("bytes").join(sizes, "group").join(texts, "doc_id")
+    line, column = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("lines")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("columns")).cast("int")
+    every = placed.select("group", "doc_id", "label", "text", column.alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("side"))
+    rest = placed.where("label <> main").select("group", "doc_id", "label", "text", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"), line.alias("l"), F.lit(1).alias("side"))
+    dealt = every.unionByName(rest).repartition("group", "l", "c").sortWithinPartitions("group", "l", "c", "side").select("group", "l", "c", "side", "doc_id", "label", "text")
+
+    def cell(rows: list[tuple]) -> pa.RecordBatch:
+        side, ids, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sets = shingle_sets(scan_words([r[6] for r in rows], BLANK, LOWER))
+        sizes = np.array([len(x) for x in sets])
+        b = np.flatnonzero(side == 0)
+        flat = np.concatenate([sets[i] for i in b]) if len(b) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(b)), sizes[b])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        u, v = [], []
+        for i in np.flatnonzero(side == 1).tolist():
+            first, last = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = last - first
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            near = (100 * common >= percent * (sizes[i] + sizes[b] - common)) & (common > 0) & (label[b] != label[i])
+            u += [ids[i]] * int(near.sum())
+            v += ids[b[near]].tolist()
+        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield cell(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield cell(held)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def pairs_of_two_groups(posts: DataFrame, groups: DataFrame, labels: DataFrame, classes: DataFrame, match: int) -> DataFrame:
+    """Classes of different groups and components that share a posting and agree in ``match`` coordinates."""
+    named = _labelled(posts, labels).join(groups, "doc_id")
+    mixed = named.groupBy("key").agg(*[f(c).alias(f"{t}_{c}") for c in ("label", "group") for t, f in (("lo", F.min), ("hi", F.max))])
+    mixed = mixed.where("lo_label <> hi_label and lo_group <> hi_group").select("key")
     live = materialize(named.join(mixed, "key"), "mixed")
-    a = live.select("key", F.col("doc_id").alias("u"), F.col("tag").alias("ut"), F.col("label").alias("ul"))
-    b = live.select("key", F.col("doc_id").alias("v"), F.col("tag").alias("vt"), F.col("label").alias("vl"))
-    pairs = a.join(b, "key").where("u < v and ul <> vl").select("u", "ut", "v", "vt").distinct()
-    sig = classes.select("doc_id", F.col("h1").alias("tag"), "signature")
-    left = sig.select(F.col("doc_id").alias("u"), F.col("tag").alias("ut"), F.col("signature").alias("s"))
-    right = sig.select(F.col("doc_id").alias("v"), F.col("tag").alias("vt"), F.col("signature").alias("t"))
+    a = live.select("key", F.col("doc_id").alias("u"), F.col("label").alias("ul"), F.col("group").alias("ug"))
+    b = live.select("key", F.col("doc_id").alias("v"), F.col("label").alias("vl"), F.col("group").alias("vg"))
+    pairs = a.join(b, "key").where("u < v and ul <> vl and ug <> vg").select("u", "v").distinct()
+    left = classes.select(F.col("doc_id").alias("u"), F.col("signature").alias("s"))
+    right = classes.select(F.col("doc_id").alias("v"), F.col("signature").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +235,7 @@ def _rest_pairs(posts: DataFrame, labels: DataFrame, classes: DataFrame, match:
             ok = (s == t).sum(axis=1) >= match
             yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok))
 
-    both = pairs.join(left, ["u", "ut"]).join(right, ["v", "vt"]).select("u", "v", "s", "t")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "s", "t")
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -182,12 +247,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = materialize(prefix_postings(classes, match), "postings")
     source = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = materialize(source.join(posts.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    labels = None
-    for seed in range(STAR_ROUNDS):
-        edges = verified(_star_pairs(posts, labels, seed, HUBS), texts, percent)
-        labels = components(edges) if labels is None else relabel(labels, edges)
-    rest = materialize(_rest_pairs(posts, labels, classes, match), "rest")
-    labels = relabel(labels, verified(rest, texts, percent))
+    assigned = materialize(hubs(posts), "hubs")
+    labels = components(verified(assigned.where("doc_id <> hub").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), texts, percent))
+    labels = relabel(labels, verified(random_stars(posts, labels), texts, percent))
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("group"))
+    groups = materialize(assigned.join(of_hub, "hub", "left").select("doc_id", F.coalesce("group", "hub").alias("group")), "groups")
+    between = materialize(pairs_of_two_groups(posts, groups, labels, classes, match), "pairs")
+    labels = relabel(labels, links_of_one_group(groups, labels, texts, percent).union(verified(between, texts, percent)))
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "h1", "h2", F.coalesce("component", "doc_id").alias("component_id")
     )
