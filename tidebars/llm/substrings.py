@@ -158,7 +158,8 @@ def least_documents(contents: DataFrame, window: int) -> DataFrame:
 def removal_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER, hot: int = HOT) -> DataFrame:
     """``doc_id`` and ``plan`` of documents that lose words: per text (``tag``) whether it loses all of them, else the repeated windows."""
     rows = materialize(profile(docs, id_col, text_col, window, m), "profiles").where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("minimisers").alias("minimisers"))
+    # Stored, so that the join of copies with their class below can be split where a class is large.
+    classes = materialize(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("minimisers").alias("minimisers")), "classes")
     posts = materialize(classes.select("first_id", F.explode("minimisers").alias("key")), "minimisers")
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     per_doc = posts.join(shared, "key").groupBy(F.col("first_id").alias("doc_id")).agg(
@@ -172,8 +173,7 @@ def removal_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     flagged = places.select("doc_id", "tag", marked.alias("starts")).where(F.size("starts") > 0)
     some = flagged.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts")).withColumn("all", F.lit(False))
-    least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
-    copies = rows.select("doc_id", "h1", "h2").join(least, ["h1", "h2"]).where("doc_id > first_id")
+    copies = rows.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "first_id"), ["h1", "h2"]).where("doc_id > first_id")
     whole = copies.select("doc_id", F.col("h1").alias("tag"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("all"))
     return some.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "all", "starts")).alias("plan"))
 
