@@ -45,6 +45,8 @@ def test_edge_rows(spark, library):
         want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+    one = bpe.digests(bpe.round_trip(docs, PATH, public_tokenizers.PATTERN)).collect()
+    assert sorted(map(tuple, one), key=key) == sorted(want, key=key)
 
 
 def test_empty_table(spark):

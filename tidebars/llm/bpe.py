@@ -42,7 +42,10 @@ class Chunks:
     #: White space other than blank and line end, and the separator used below.
     OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x00"
 
-    def __init__(self, many, limit: int = 120_000):
+    MARKS = (".", ",", ";", ":", "!", "?")
+    LATIN_END = "\u0250"
+
+    def __init__(self, many, limit: int = 80_000):
         self.many, self.known = many, Memo(lambda chunk: many([chunk])[0], limit)
 
     def cut(self, text: str) -> list[str]:
@@ -50,11 +53,17 @@ class Chunks:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if plain else [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of several texts; chunks that are new are handled together."""
+        """Ids of several texts; chunks that are new are handled together.
+
+        A mark after a Latin letter begins a match of its own, so ``word,`` is put together from ``word`` and ``,``.
+        """
         cut = [self.cut(t) for t in texts]
         new = set().union(*cut).difference(self.known, self.known.older) if cut else set()
-        for some in batched(new, 100_000):
+        marked = {c for c in new if c[-1:] in self.MARKS and c[-2:-1].isalpha() and c[-2] < self.LATIN_END}
+        plain = (new - marked).union({c[:-1] for c in marked}, {c[-1] for c in marked}).difference(self.known, self.known.older)
+        for some in batched(plain, 100_000):
             self.known.update(zip(some, self.many(list(some)), strict=True))
+        self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
         out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
         self.known.trim()
         return out
@@ -75,7 +84,7 @@ class Merger:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        self.pieces = Memo(lambda p: self.merge_many([p])[0], 60_000)
+        self.pieces = Memo(lambda p: self.merge_many([p])[0], 40_000)
         self.chunks = Chunks(self.encode_chunks)
 
     def pair_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,6 +270,21 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the texts, so that a task needs one worker process and not two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(ranks_path, pattern)
+        for keys, texts in each_text(batches):
+            ids = m.encode([t.decode("utf-8", "replace") for t in texts])
+            n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            yield pa.record_batch([keys, pa.array(ids, pa.binary()), n, pa.array([m.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    df = id_text(docs, id_col, text_col)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Hashes of ids and of decoded bytes in place of the values."""
     return decoded.select(

@@ -53,8 +53,7 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, RANKS, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
 @register
