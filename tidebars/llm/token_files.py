@@ -39,10 +39,18 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks = Chunks(self.many)
+        self.zero = self.tokenizer.encode("\0", add_special_tokens=False).ids[-1]
+        self.chunks = Chunks(self.many, 400_000)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """One call for all chunks: each is followed by a zero character, whose id ends it."""
+        if any("\0" in t for t in texts):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        row = [x for t in texts for x in (t, "\0")]
+        ids = np.array(self.tokenizer.encode_batch_fast([row], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(ids == self.zero)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.chunks.encode(texts)
@@ -108,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
             rename(hidden, f"{folder}/part-{part:06d}.parquet")
             yield pa.record_batch([pa.array([part]), pa.array([rows]), pa.array([start])], ["part", "rows", "tokens"])
 
-    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     done = ordered.mapInArrow(run, "part long, rows long, tokens long")
     path = f"{folder}-files"
     done.write.parquet(path)
