@@ -32,7 +32,7 @@ from tidebars.session import materialize, shared_folder
 
 BEGIN, END = 1, 2
 HOT_PARTS = 2_000
-FLUSH_PAIRS = 3_000_000
+FLUSH_PAIRS = 2_000_000
 BUCKETS_PER_PARTITION = 4
 
 
@@ -367,7 +367,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _MAPPED[model.folder] = Arrays(model)
         arrays = _MAPPED[model.folder]
         discount = np.array([0.0, *model.pair_discounts])
-        for ids, texts in each_text(batches):
+        for ids, texts in each_text(batches, 2_000_000):
             tokens, starts = token_ids(texts)
             words, _, _ = summed(tokens)
             count, total, gamma, lower = arrays.words(words)
