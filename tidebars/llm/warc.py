@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidebars.llm.shared import make_folder, open_input, open_output, rename
-from tidebars.session import materialize, shared_folder
+from tidebars.session import fan_out, materialize, shared_folder
 
 BLOCK = 3_000
 #: A page table has no capture time, so records carry a fixed one.
@@ -217,7 +217,8 @@ def read_captures(captures: DataFrame, folder: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "record_type", "payload", "stated", "refers_to"])
 
-    ordered = captures.repartition("file").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # An explicit number: captures are small rows that stand for large reads, so partitions must not be merged by size.
+    ordered = captures.repartition(fan_out(captures.sparkSession), "file").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return ordered.mapInArrow(run, "page_id long, record_type string, payload binary, stated string, refers_to long")
 
 
