@@ -42,6 +42,36 @@ def test_thresholds_follow_the_group(spark):
     assert all(r.kept for r in quality.judge(documents(spark, usual), least=50).collect())
 
 
+def test_each_measure_rejects_what_no_other_does(spark):
+    clean = [(i, " ".join(words(i, 60)), "xx", "s0") for i in range(300)]
+    short = [" ".join(words(900 + i, 4, 5000)) for i in range(10)]
+    again, rest = " ".join(words(990, 12, 5000)), words(991, 76, 5000)
+    only = {
+        "symbol_share": " ".join(f"{w}*" for w in words(1000, 60)),
+        # Ten lines of four words, three of them twice: no window of eight words occurs again.
+        "dup_line_share": "\n".join([*short, short[1], short[4], short[7]]),
+        # 24 of 100 words: less than the base rule wants.
+        "repeat_share": " ".join([again, *rest, again]),
+        "mean_word": " ".join(w * 4 for w in words(1001, 60)),
+    }
+    rows = clean + [(1000 + i, t, "xx", "s0") for i, t in enumerate(only.values())]
+    out = {r.doc_id: r for r in quality.judge(documents(spark, rows), least=50).collect()}
+    assert all(out[i].kept for i in range(300))
+    assert [out[1000 + i].failed_rules for i in range(4)] == [[m] for m in only]
+
+
+def test_fences_of_repeats_follow_the_group(spark):
+    def lines(seed, twice):
+        own = [" ".join(words(100 * seed + i, 4, 5000)) for i in range(10)]
+        return "\n".join([*own, *[own[k] for k in (7, 4, 1, 9)[:twice]]])
+
+    # One language repeats up to two of ten lines as a rule, the other none.
+    rows = [(i, lines(i, i % 3), "often", "s") for i in range(300)] + [(1000 + i, lines(1000 + i, 0), "never", "s") for i in range(300)]
+    rows += [(5000, lines(5000, 4), "often", "s"), (5001, lines(5000, 4), "never", "s")]
+    out = {r.doc_id: r for r in quality.judge(documents(spark, rows), least=50).collect()}
+    assert out[5000].kept and out[5001].failed_rules == ["dup_line_share"]
+
+
 def test_empty_table(spark):
     assert quality.judge(documents(spark, [])).count() == 0
 
