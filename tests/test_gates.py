@@ -10,7 +10,7 @@ from tidebars.functions import normal
 from tidebars.functions.indicators import num
 from tidebars.operators import candidates
 from tidebars.plans.families import REGISTRY
-from tidebars.plans.gates import oos, stress, walkforward
+from tidebars.plans.gates import oos, population, resample, stress, walkforward
 from tidebars.session import materialize
 from tidebars.operators.panel import number_bars
 
@@ -54,6 +54,25 @@ def test_stress_windows_are_all_needed(spark, series):
     assert out["LONG"].failure_reason == "fixed_net_return;fixed_drawdown"
 
 
+def test_gates_take_every_family_on_the_series_it_may_trade(spark, series):
+    """trend_sma trades both series, momentum_volume_confirmed only the one with real volume; no candidate is lost."""
+    rows = [("LONG", "single", "STK", "TRADES"), ("SHORT", "single", "CASH", "MIDPOINT")]
+    universe = spark.createDataFrame(rows, "symbol string, kind string, sec_type string, what_to_show string")
+    names = ["trend_sma", "momentum_volume_confirmed"]
+    want = candidates.population(spark, universe).where(F.col("family").isin(names))
+    trials = spark.createDataFrame([(100,)], "trials long")
+    split = oos.Split("2015-01-01 00:00:00", "2019-12-31 23:59:59", "2020-01-01 00:00:00")
+    tables = population.gate_tables(series, None, universe, trials, split, r=resample.Resampling(permutations=5, bootstraps=5), families=names)
+    out = {r.candidate_id: r for r in population.funnel(want, tables).collect()}
+    sizes = {f: len(REGISTRY[f].combinations()) for f in names}
+    assert len(out) == want.count() == 2 * sizes["trend_sma"] + sizes["momentum_volume_confirmed"]
+    assert {(r.family, r.symbol) for r in out.values()} == {("trend_sma", "LONG"), ("trend_sma", "SHORT"), ("momentum_volume_confirmed", "LONG")}
+    for r in out.values():
+        assert "no_gate_row" not in (r.layer1_failure, r.layer2_failure, r.layer3_failure, r.layer4_failure)
+    alone = oos.gate(series, "trend_sma", REGISTRY["trend_sma"].combinations(), split).collect()
+    assert all(out[f"trend_sma__{r.symbol}__{r.params_key}"].layer1_failure == r.failure_reason for r in alone)
+
+
 @pytest.mark.parametrize("value", [0.25, 128.5714, 1234.56789, 0.00012345678, 0.000012345, 12.0, -0.5, 123456.75, 2.0000001, 99.9999999])
 def test_ids_have_one_form(spark, value):
     got = spark.range(1).select(F.lit(value).cast("double").alias("v")).select(F.expr(candidates.format_value("v"))).first()[0]

@@ -9,7 +9,7 @@ from tidebars.catalog.backtests import (
 )
 from tidebars.catalog.bars import event_rows
 from tidebars.catalog.base import cte, dbl, query
-from tidebars.catalog.signals import layers, roll, signal_ctes, stored_daily
+from tidebars.catalog.signals import layers, roll, signal_ctes, stored_daily, stored_pairs
 from tidebars.catalog.population import universe
 from tidebars.functions import normal
 from tidebars.operators import backtest as bt
@@ -18,7 +18,7 @@ from tidebars.operators.candidates import variant_plan
 from tidebars.operators.positions import named, positions
 from tidebars.plans import report
 from tidebars.plans.families import REGISTRY
-from tidebars.plans.gates import oos, resample, stress, walkforward
+from tidebars.plans.gates import oos, population, resample, stress, walkforward
 from tidebars.session import materialize
 
 SPLIT = oos.Split("1995-01-01 00:00:00", "1998-12-31 23:59:59", "1999-01-01 00:00:00")
@@ -547,3 +547,14 @@ JOIN (SELECT {CID} AS candidate_id, layer3_pass FROM f3_gate) USING (candidate_i
 )
 def final_funnel(spark, d):
     return report.final_funnel(*gate_tables(spark, d))
+
+
+# --- all gates over the whole population ---------------------------------------------
+@query("population_funnel")
+def population_funnel(spark, d):
+    """No SQL: walk-forward folds of most families cannot be written as one statement. The gates' rules are checked family-wise above."""
+    series = materialize(universe(spark, d), "universe")
+    candidates = materialize(cand.population(spark, series).select("family", "symbol", "candidate_id"), "candidates")
+    single, pair = materialize(stored_daily(spark, d, macro=True), "numbered"), materialize(stored_pairs(spark, d), "numbered")
+    trials = candidates.agg(F.count("*").alias("trials"))
+    return population.funnel(candidates, population.gate_tables(single, pair, series, trials, SPLIT, FOLDS, STRESS, TRIALS))
