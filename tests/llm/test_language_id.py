@@ -1,6 +1,6 @@
 """Language identification: held-out accuracy and edge rows."""
 
-from edge_tables import documents, edge_rows
+from edge_tables import documents, edge_rows, words
 
 from tidebars.llm import language_id, queries
 
@@ -28,6 +28,14 @@ def test_edge_rows(spark):
     assert all(r.lang_pred in ("en", "de", "und") for r in out)
 
 
+def test_copies_do_not_lower_the_rate(spark):
+    text = lambda seed: " ".join(words(seed, 300)).translate(str.maketrans("0123456789", "abcdefghij"))
+    own = [(i, text(i), "en", "s") for i in range(40)]
+    copies = [(100 + i, text(1000), "en", "s") for i in range(2000)]
+    learned = language_id.learn(documents(spark, own + copies), dict_bytes=8 << 10)
+    assert len(learned["en"][0]) == 8 << 10 and learned["en"][1] == 1
+
+
 def test_nothing_to_learn_from(spark):
     learned = language_id.learn(documents(spark, []))
     assert [r.lang_pred for r in language_id.predict(documents(spark, [(1, "words")]), learned).collect()] == ["und"]

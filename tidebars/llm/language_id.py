@@ -47,13 +47,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     language; what reaches the driver is bounded by that.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text is not null and lang is not null")
-    n = F.count("*").alias("n")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(n, F.sum(F.least(F.octet_length("text"), F.lit(PIECE_BYTES))).alias("b")).withColumn("n", F.struct("n", "b")).select("lang", "n").collect()}
+    marked = rows.withColumn("draw", F.xxhash64("text"))
+    # Shares count all rows; the rate follows from distinct texts, as copies are drawn together and count once.
+    texts = marked.groupBy("lang", "draw").agg(F.count("*").alias("n"), F.max(F.least(F.octet_length("text"), F.lit(PIECE_BYTES))).alias("b"))
+    counts = {r["lang"]: {"n": r["n"], "b": r["b"]} for r in texts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()}
     if not counts:
         return {}
     total = sum(c["n"] for c in counts.values())
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 3 * dict_bytes / max(1, c["b"])))) for k, c in counts.items()])
-    drawn = rows.withColumn("draw", F.xxhash64("text")).where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003)
+    drawn = marked.where(F.pmod("draw", F.lit(1_000_003)) < rate * 1_000_003)
     room = F.greatest(F.length("text") - PIECE_BYTES // 2, F.lit(0)) + 1
     piece = F.substring(F.col("text"), (1 + F.pmod(F.shiftright("draw", 20), room)).cast("int"), F.lit(PIECE_BYTES // 2))  # from anywhere in the text
     pieces = drawn.select("lang", "draw", piece.alias("piece")).distinct().collect()
