@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebars.llm import bpe, language_id, language_model, neardup, quality, substrings, token_files, toxicity, warc, winnow
+from tidebars.llm import (
+    bpe, language_id, language_model, line_dedup, neardup, prefix_trie, quality, resample, substrings, token_files, toxicity, warc, winnow,
+)
 from tidebars.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +85,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("tag")
 
 
+@register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.without_shared_lines(table(spark, sf_dir, "documents")))
+
+
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+@register
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -143,3 +161,61 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d JOIN c USING (x)"""
+
+
+ORACLES["op11_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (keeper <> k.doc_id)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keeper IS NULL OR keeper = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN s USING (key) GROUP BY k.doc_id"""
+
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) FROM range(256) r(b))"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of UTF-8 bytes; ``crc_table.t`` has the 256 remainders."""
+    digits = f"hex(encode({text}))"
+    byte = f"('0x' || substr({digits}, 2 * i::INT + 1, 2))::BIGINT"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, range(length({digits}) // 2)), lambda c, i: xor(c >> 8, t[(xor(c, {byte}) & 255) + 1])))"
+
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH RECURSIVE crc_table AS (SELECT {_CRC_TABLE} AS t),
+own AS (SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations GROUP BY conv_id),
+h AS (SELECT conv_id, p, ({_crc32("conv_id::VARCHAR")} % 4)::INT AS h FROM own, crc_table),
+c AS (SELECT a.conv_id, list_concat(coalesce(b.p[1:h], []), a.p[h + 1:]) AS p FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+n AS (SELECT p[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(p) = d), '') AS ends
+  FROM (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM c) GROUP BY 1, 2),
+links AS (SELECT a.p, a.d, count(b.p) AS n_children FROM n a LEFT JOIN n b ON b.d = a.d + 1 AND b.p[1:b.d - 1] = a.p GROUP BY 1, 2),
+own_values AS (SELECT n.p, n.d, (n_children = 0)::BIGINT AS leaf,
+    CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * len(list_filter(string_split_regex(n.p[n.d][2], '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS saved
+  FROM n JOIN links USING (p, d)),
+below AS (SELECT p[1:u] AS p, u AS d, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT p, leaf, saved, unnest(range(d + 1)) AS u FROM own_values) GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN links USING (p, d) JOIN below USING (p, d) LEFT JOIN n up ON up.d = n.d - 1 AND up.p = n.p[1:n.d - 1]"""
+
+_RUNS = f"""SELECT id, array_to_string(w[i:i + k - 1], ' ') AS f
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)"""
+ORACLES["op13_importance_resampling"] = f"""
+WITH crc_table AS (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT (0, doc_id) AS id, {_words("text", _ALNUM, True)} AS w FROM documents
+  UNION ALL SELECT (1, item_id), {_words("text", _ALNUM, True)} FROM benchmark),
+runs AS MATERIALIZED ({_RUNS}),
+crc AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM runs), crc_table),
+hits AS MATERIALIZED (SELECT id, bucket, count(*) AS n FROM runs JOIN crc USING (f) GROUP BY 1, 2),
+counts AS (SELECT b.bucket, coalesce(sum(n) FILTER (id[1] = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (id[1] = 1), 0)::DOUBLE AS t
+  FROM range(10000) b(bucket) LEFT JOIN hits USING (bucket) GROUP BY 1),
+whole AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS g FROM counts, whole),
+sums AS (SELECT id[2] AS doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM hits JOIN gain USING (bucket) WHERE id[1] = 0 GROUP BY 1),
+scored AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM (SELECT id[2] AS doc_id, len(w) AS n_words FROM d WHERE id[1] = 0) LEFT JOIN sums USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
