@@ -8,9 +8,12 @@ condition, never flips inside one bar, and is flat whenever its indicator is mis
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from itertools import product
+from typing import Any
 
 from pyspark.sql import Column, functions as F
 
@@ -83,8 +86,22 @@ def _revert(x: Column, entry: float, leave: float = 0.0) -> Held:
     return Held(x.isNotNull(), x <= -entry, x >= entry, x >= -leave, x <= leave)
 
 
+_source: ContextVar[Callable[[str], Any]] = ContextVar("source", default=F.col)
+
+
 def c(name: str) -> Column:
-    return F.col(name)
+    """What a rule reads: a column, or inside ``reading`` whatever stands for it there."""
+    return _source.get()(name)
+
+
+@contextmanager
+def reading(source: Callable[[str], Any]) -> Iterator[None]:
+    """Rules are only comparisons and arithmetic: within this block they read from ``source``, say arrays of a batch."""
+    before = _source.set(source)
+    try:
+        yield
+    finally:
+        _source.reset(before)
 
 
 # --- trend ---------------------------------------------------------------------------
@@ -371,7 +388,8 @@ _family(
 
 
 def _range_rule(p: Params) -> Level:
-    wide = (c("high") - c("low")) > p["expansion_multiple"] * ind.positive(c(f"avgrange_{p['window']:g}"))
+    usual = c(f"avgrange_{p['window']:g}")
+    wide = (usual > 0) & ((c("high") - c("low")) > p["expansion_multiple"] * usual)
     return Level(wide & (c("close") > c("open")), wide & (c("close") < c("open")))
 
 

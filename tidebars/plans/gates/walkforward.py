@@ -148,10 +148,16 @@ def aggregate(segs: DataFrame, results: DataFrame, labels: list[str], p: Plan =
         F.col("total_transaction_cost").alias("walkforward_total_transaction_cost"),
         F.col("observation_count").alias("walkforward_observation_count"),
     )
+    label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("cand") + 1)
+    return perf.join(stability(results.withColumn("chosen", label)), [*keys])
+
+
+def stability(results: DataFrame) -> DataFrame:
+    """How the test folds of each parent went, and how stable the choice (``chosen``: its label) was."""
     c = F.col
-    label = F.element_at(F.array(*[F.lit(x) for x in labels]), c("cand") + 1)
+    keys = ("symbol", "parent")
     uses = F.count("*").over(Window.partitionBy("symbol", "parent", "cand"))
-    folds = results.withColumns({"chosen": label, "uses": uses}).groupBy(*keys).agg(
+    folds = results.withColumn("uses", uses).groupBy(*keys).agg(
         F.count("*").alias("completed_folds"),
         F.count_if(c("test_net_return") > 0).alias("positive_folds"),
         F.sum("test_trade_count").alias("total_test_trades"),
@@ -166,7 +172,7 @@ def aggregate(segs: DataFrame, results: DataFrame, labels: list[str], p: Plan =
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c("fold").cast("string"), "chosen"))))).alias("selected_by_fold"),
     )
     share = F.col("positive_folds") / F.col("completed_folds")
-    return perf.join(folds.withColumn("profitable_fold_share", share), [*keys])
+    return folds.withColumn("profitable_fold_share", share)
 
 
 def judge(agg: DataFrame, p: Plan = Plan()) -> DataFrame:
