@@ -125,20 +125,10 @@ NOT_ALNUM = byte_set(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 AS_IS = np.arange(256, dtype=np.uint8)
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = power_of_two(n)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.cumprod(out, dtype=np.uint64)
-    return _powers[0], _powers[1]
+#: A random number for every byte at each of the first 256 places of a word; places beyond scramble these with their distance.
+_PLACES = 256
+_TABLE = mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)).reshape(_PLACES, 256)
+_FAR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -162,8 +152,9 @@ class Words:
 def scan_words(texts: list[bytes], breaks: np.ndarray = BLANK, fold: np.ndarray = AS_IS, segment: int = 1 << 20) -> Words:
     """Cut texts at break bytes and hash every word (after folding bytes), without a Python step per word.
 
-    A word's hash is a polynomial of its bytes, read off running sums and scrambled together with its length.
-    The sums are taken over segments that end between words, so memory per step is bounded.
+    A word's hash is the sum of one random number for each (place in the word, byte), scrambled together with its length, so
+    no two arrangements of the same bytes are related. Sums are taken over segments that end between words, which bounds
+    memory per step.
     """
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sep = breaks[buf]
@@ -175,18 +166,21 @@ def scan_words(texts: list[bytes], breaks: np.ndarray = BLANK, fold: np.ndarray
     np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
     offsets = np.searchsorted(starts, begin)
     hashes = np.empty(len(starts), np.uint64)
-    value = _BYTE[fold]
+    table = _TABLE[:, fold].ravel()
     at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
             first = int(starts[at])
             to = max(at + 1, int(np.searchsorted(ends, first + segment, side="right")))
-            last = int(ends[to - 1])
-            up, down = _powers_to(last - first + 1)
-            total = np.zeros(last - first + 1, np.uint64)
-            np.cumsum(value[buf[first:last]] * up[: last - first], out=total[1:])
-            s, e = starts[at:to] - first, ends[at:to] - first
-            hashes[at:to] = mix((total[e] - total[s]) * down[s], (e - s).astype(np.uint64))
+            size = ends[at:to] - starts[at:to]
+            begin = np.cumsum(size) - size
+            place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
+            code = buf[first : int(ends[to - 1])][~sep[first : int(ends[to - 1])]]
+            value = table[(place & (_PLACES - 1)) * 256 + code]
+            far = np.flatnonzero(place >= _PLACES)
+            if len(far):
+                value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64) * _FAR)
+            hashes[at:to] = mix(np.add.reduceat(value, begin), size.astype(np.uint64))
             at = to
     return Words(hashes, starts, ends, offsets, buf)
 

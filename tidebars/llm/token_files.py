@@ -5,12 +5,15 @@ task writes one file. Ids are dictionary-encoded (a page dictionary of at most t
 lengths and offsets are delta-encoded, and row groups end after a bounded number of ids, so a reader that wants
 some documents or only metadata reads few pages. A file's name comes from its partition, and it appears by a
 rename: a task that runs twice writes the same file twice. Order of files and of rows in them is
-(identifier, text), null identifiers first; a null text has no ids but the end id.
+(identifier, text), null identifiers first; a null text has no ids but the end id. Strings of the tokenizer's added tokens
+in a text become these tokens, as the library does by default. An empty table writes no file and gives no rows; all other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,16 +34,30 @@ PAGE_BYTES = 1 << 18
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once per new chunk of text."""
+    """The tokenizers library with its own defaults, asked once per new chunk of text.
+
+    A text that holds the string of an added token goes to the library whole, as chunks could cut that string. Chunks are
+    used only if the loaded tokenizer encodes samples in chunks as it does whole; otherwise every text goes whole.
+    """
+
+    SAMPLES = ("It's 12,500 items;\n\n  two  lines\r\n\tend. ", " leading", "a\0b", "Été — ça\u3000va?! \U0001f600 x", "don't  STOP...\n", "\0")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.zero = self.tokenizer.encode("\0", add_special_tokens=False).ids[-1]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.zero = self.whole("\0")[-1:]
         self.chunks = Chunks(self.many, 400_000)
+        self.cut = len(self.zero) == 1 and [x for x in self.chunks.encode(list(self.SAMPLES))] == [self.packed(t) for t in self.SAMPLES]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def packed(self, text: str) -> bytes:
+        return np.array(self.whole(text), "<u4").tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
         """One call for all chunks: each is followed by a zero character, whose id ends it."""
@@ -48,12 +65,14 @@ class LibraryEncoder:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         row = [x for t in texts for x in (t, "\0")]
         ids = np.array(self.tokenizer.encode_batch_fast([row], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * np.flatnonzero(ids == self.zero)).tolist()
+        ends = (4 * np.flatnonzero(ids == self.zero[0])).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.chunks.encode(texts)
+        apart = [not self.cut or bool(self.added and self.added.search(t)) for t in texts]
+        chunked = iter(self.chunks.encode([t for t, alone in zip(texts, apart) if not alone]))
+        return [self.packed(t) if alone else next(chunked) for t, alone in zip(texts, apart)]
 
 
 _OPEN: dict[str, LibraryEncoder] = {}
