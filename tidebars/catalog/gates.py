@@ -109,11 +109,9 @@ def window_metrics(spark, d):
     )
 
 
-@query("top5_profit_share", f"SELECT {WIN}, {dbl('top_5_trade_profit_share')} FROM g1_top", G1)
+@query("top5_profit_share", f"SELECT {WIN}, {dbl('top_5_trade_profit_share')} FROM g1_win", G1)
 def top5_profit_share(spark, d):
-    return named(oos.top_share(oos.window_runs(g1_book(spark, d), SPLIT)), G1_PLAN).filter(
-        F.col("top_5_trade_profit_share").isNotNull()
-    ).select(*CK, "win", "top_5_trade_profit_share")
+    return named(oos.top_share(oos.window_runs(g1_book(spark, d), SPLIT)), G1_PLAN).select(*CK, "win", "top_5_trade_profit_share")
 
 
 L1_D = ("net_sharpe", "net_total_return", "top_5_trade_profit_share")

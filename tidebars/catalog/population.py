@@ -154,9 +154,9 @@ def promote_new(spark, d):
 @query(
     "deployed_candidates",
     """SELECT 'c' || c_custkey AS candidate_id, c_mktsegment AS family, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS survived
-FROM customer WHERE c_acctbal > 5000""",
+FROM customer""",
 )
 def deployed_candidates(spark, d):
-    c = ticks.table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("candidate_id"), F.col("c_mktsegment").alias("family"), "c_acctbal")
+    c = ticks.table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("candidate_id"), F.col("c_mktsegment").alias("family"))
     survivors = event_rows(spark, d).filter("final_pass").select("candidate_id").distinct()
-    return cand.deployed_candidates(c.filter("c_acctbal > 5000"), survivors, c.drop("c_acctbal"))
+    return cand.deployed_candidates(c, survivors, c)
