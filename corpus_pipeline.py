@@ -1,8 +1,8 @@
 """From raw documents to token ids: rules, near-duplicates, repeated passages, benchmark passages, encoding.
 
 Every stage takes all rows that the one before kept, decides on their texts as they are by then, and returns them with
-the columns of ``documents`` (the last one: ids). Rows that repeat an id are told apart by their text, except where they
-are near-duplicates: an id whose row is a duplicate goes with all its rows. Rows without id are never near-duplicates.
+the columns of ``documents`` (the last one: ids). Rows that repeat an id are told apart by their text; equal rows are one
+document. Rows without id are never near-duplicates.
 A text that consists of repeated passages only stays as an empty text. An empty table passes through every stage.
 """
 
@@ -33,9 +33,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the least id of each group stays; of an id with several texts, each text is a document."""
+    lo, hi, node = (fresh(docs, name) for name in ("lo", "hi", "node"))
+    tags = docs.select("doc_id", text_tag().alias("tag")).where("doc_id is not null").groupBy("doc_id")
+    several = materialize(tags.agg(F.min("tag").alias(lo), F.max("tag").alias(hi)).where(F.col(lo) != F.col(hi)), "several")
+    # Such documents get numbers above 2^62 as ids, far from real ones.
+    number = F.shiftrightunsigned(F.xxhash64("doc_id", text_tag()), 2) + F.lit(1 << 62)
+    named = docs.join(several, "doc_id", "left").withColumn(node, F.when(F.col(lo).isNull(), F.col("doc_id")).otherwise(number))
+    gone = neardup.near_duplicates(named, id_col=node).where(~F.col("kept")).select(F.col("doc_id").alias(node)).distinct()
+    return named.join(gone, node, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

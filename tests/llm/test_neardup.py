@@ -4,6 +4,7 @@ import random
 import re
 
 from edge_tables import documents, edge_rows, words
+from pyspark.sql import functions as F
 
 from tidebars.llm import components, neardup
 
@@ -79,3 +80,33 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(parent, x) for x in parent if find(parent, x) != x}
+
+
+def test_long_lists_in_blocks(spark):
+    """Versions of one text around the threshold, with lists and cells cut much smaller: the same links."""
+    rng = random.Random(8)
+    base = words(3, 90)
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(rng.randrange(10)):
+            w[rng.randrange(len(w))] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    want = {r[0]: r[2] for r in expected(rows)}
+    docs = documents(spark, rows)
+    sketches = neardup.sketch(docs)
+    classes = sketches.select("doc_id", "h1", "h2", "signature").cache()
+    posts = neardup.prefix_postings(classes).cache()
+    texts = neardup.id_text(docs).cache()
+    alone = spark.createDataFrame([], "node long, component long")
+    # Every class its own group: all links come from posting lists in blocks of seven.
+    groups = classes.select("doc_id", F.col("doc_id").alias("group"))
+    met = neardup.pairs_of_two_groups(posts, groups, alone, classes, neardup.MATCH, block_rows=7)
+    assert met.count() == met.distinct().count() and met.where("u >= v").isEmpty()
+    got = {r.node: r.component for r in components.components(neardup.verified(met, texts)).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    # All in one group: all links come from cells.
+    groups = classes.select("doc_id", F.lit(0).cast("long").alias("group"))
+    links = neardup.links_of_one_group(groups, alone, texts, classes, neardup.MATCH, neardup.PERCENT, 2000, 16)
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert {i: got.get(i, i) for i in want} == want

@@ -62,6 +62,17 @@ def test_edge_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_texts_of_one_id(spark):
+    """An id with several texts loses only the text that another document has."""
+    x, y, z = (" ".join(words(s, 80)) for s in (71, 72, 73))
+    near = x + " tail"
+    docs = documents(spark, [(1, x), (2, x), (2, y), (3, y), (4, z), (5, near), (5, z), (6, None), (6, "")])
+    kept = {(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()}
+    groups = [{(1, x), (2, x), (5, near)}, {(2, y), (3, y)}, {(4, z), (5, z)}]
+    assert all(len(kept & g) == 1 for g in groups)
+    assert (1, x) in kept and {(6, None), (6, "")} <= kept
+
+
 def test_empty_table(spark):
     docs = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:

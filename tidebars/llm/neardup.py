@@ -11,7 +11,8 @@
    each class is compared with the one of these it meets most often, its hub. Next each list names a class at random.
    What is left between components is then paired off completely: classes whose hubs are in one component form a group,
    which is cut into blocks of texts, and those outside its largest component are compared with every block; classes of
-   different groups are paired list by list, where whole signatures must agree in ``match`` coordinates.
+   different groups are paired list by list, long lists in blocks. In both, whole signatures must agree in ``match``
+   coordinates.
 4. Comparison is exact, on the full shingle sets of the two texts.
 
 With 64 coordinates and ``match`` 34 a pair of similarity 0.75 falls below the count with probability 4e-5.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidebars.llm.common import BLANK, LOWER, Words, binary_lists, distinct, each_text, gram_hashes, id_text, mix, runs_within, scan_words
 from tidebars.llm.components import components, relabel
@@ -37,6 +38,8 @@ COORDINATES = 64
 MATCH = 34
 PERCENT = 75
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 4096
+LIST_ROWS = 1024
 
 _MULTIPLIERS = mix(np.arange(1, 1 + COORDINATES, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -164,49 +167,70 @@ def random_stars(posts: DataFrame, labels: DataFrame, seed: int = 1) -> DataFram
     return best.select(F.col("doc_id").alias("u"), F.col("best.v").alias("v"))
 
 
-def links_of_one_group(groups: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def agreement(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many coordinates a signature equals each of ``others`` (a column per signature)."""
+    same = np.zeros(others.shape[1], np.uint8)
+    for k in range(COORDINATES):
+        same += others[k] == mine[k]
+    return same
+
+
+def links_of_one_group(
+    groups: DataFrame, labels: DataFrame, texts: DataFrame, classes: DataFrame, match: int, percent: int,
+    block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Similar enough pairs of one group that are in different components, found in cells of two blocks of texts.
 
     Only classes outside the largest component of a group are compared with all of it, so a pair inside that component is
-    never looked at. A cell counts common shingles exactly, for one text against a whole block at a time, and only links
-    leave it.
+    never looked at. A cell counts equal coordinates, takes the shingles of texts with ``match`` of them, counts common
+    shingles exactly, and only links leave it.
     """
     rows = _labelled(groups, labels).join(texts.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id")
     per = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = per.groupBy("group").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n").select(
-        "group", F.col("main.label").alias("main"),
-        (1 + F.floor(F.col("bytes") / block_bytes)).cast("int").alias("columns"), (1 + F.floor((F.col("bytes") - F.col("main.bytes")) / block_bytes)).cast("int").alias("lines"),
+    sizes = per.groupBy("group").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return (1 + F.floor(F.greatest(n / block_rows, size / block_bytes))).cast("int")
+
+    sizes = sizes.select(
+        "group", F.col("main.label").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("columns"),
+        blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("lines"),
     )
-    placed = rows.drop("bytes").join(sizes, "group").join(texts, "doc_id")
+    placed = rows.drop("bytes").join(sizes, "group").join(texts, "doc_id").join(classes.select("doc_id", "signature"), "doc_id")
     line, column = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("lines")).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("columns")).cast("int")
-    every = placed.select("group", "doc_id", "label", "text", column.alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("side"))
-    rest = placed.where("label <> main").select("group", "doc_id", "label", "text", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"), line.alias("l"), F.lit(1).alias("side"))
-    dealt = every.unionByName(rest).repartition("group", "l", "c").sortWithinPartitions("group", "l", "c", "side").select("group", "l", "c", "side", "doc_id", "label", "text")
+    own = ("group", "doc_id", "label", "text", "signature")
+    every = placed.select(*own, column.alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("side"))
+    rest = placed.where("label <> main").select(*own, F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c"), line.alias("l"), F.lit(1).alias("side"))
+    dealt = every.unionByName(rest).repartition("group", "l", "c").sortWithinPartitions("group", "l", "c", "side")
+    dealt = dealt.select("group", "l", "c", "side", "doc_id", "label", "text", "signature")
 
     def cell(rows: list[tuple]) -> pa.RecordBatch:
         side, ids, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        sets = shingle_sets(scan_words([r[6] for r in rows], BLANK, LOWER))
-        sizes = np.array([len(x) for x in sets])
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, COORDINATES)
+        sets: dict[int, np.ndarray] = {}
         b = np.flatnonzero(side == 0)
-        flat = np.concatenate([sets[i] for i in b]) if len(b) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(b)), sizes[b])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
+        across = np.ascontiguousarray(sig[b].T)
         u, v = [], []
         for i in np.flatnonzero(side == 1).tolist():
-            first, last = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            n = last - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(b))
-            near = (100 * common >= percent * (sizes[i] + sizes[b] - common)) & (common > 0) & (label[b] != label[i])
-            u += [ids[i]] * int(near.sum())
-            v += ids[b[near]].tolist()
+            near = b[(label[b] != label[i]) & (agreement(sig[i], across) >= match)]
+            if not len(near):
+                continue
+            new = [j for j in [i, *near.tolist()] if j not in sets]
+            sets.update(zip(new, shingle_sets(scan_words([rows[j][6] for j in new], BLANK, LOWER)), strict=True))
+            mine = sets[i]
+            sizes = np.array([len(sets[j]) for j in near.tolist()])
+            flat = np.concatenate([sets[j] for j in near.tolist()])
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            common = np.bincount(np.repeat(np.arange(len(near)), sizes)[hit], minlength=len(near))
+            near = near[(common > 0) & (100 * common >= percent * (len(mine) + sizes - common))]
+            u += [ids[i]] * len(near)
+            v += ids[near].tolist()
         return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if held and held[-1][:3] != row[:3]:
                     yield cell(held)
                     held = []
@@ -217,26 +241,64 @@ def links_of_one_group(groups: DataFrame, labels: DataFrame, texts: DataFrame, p
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def pairs_of_two_groups(posts: DataFrame, groups: DataFrame, labels: DataFrame, classes: DataFrame, match: int) -> DataFrame:
-    """Classes of different groups and components that share a posting and agree in ``match`` coordinates."""
+def pairs_of_two_groups(posts: DataFrame, groups: DataFrame, labels: DataFrame, classes: DataFrame, match: int, block_rows: int = LIST_ROWS) -> DataFrame:
+    """Classes of different groups and components that share a posting and agree in ``match`` coordinates.
+
+    A posting list is cut into blocks, and every two of them (or one with itself) meet in a cell, where signatures are
+    compared; a pair leaves it only if it agrees, so rows grow with the lists and not with their squares.
+    """
     named = _labelled(posts, labels).join(groups, "doc_id")
-    mixed = named.groupBy("key").agg(*[f(c).alias(f"{t}_{c}") for c in ("label", "group") for t, f in (("lo", F.min), ("hi", F.max))])
-    mixed = mixed.where("lo_label <> hi_label and lo_group <> hi_group").select("key")
-    live = materialize(named.join(mixed, "key"), "mixed")
-    a = live.select("key", F.col("doc_id").alias("u"), F.col("label").alias("ul"), F.col("group").alias("ug"))
-    b = live.select("key", F.col("doc_id").alias("v"), F.col("label").alias("vl"), F.col("group").alias("vg"))
-    pairs = a.join(b, "key").where("u < v and ul <> vl and ug <> vg").select("u", "v").distinct()
-    left = classes.select(F.col("doc_id").alias("u"), F.col("signature").alias("s"))
-    right = classes.select(F.col("doc_id").alias("v"), F.col("signature").alias("t"))
+    ends = [f(c).alias(f"{t}_{c}") for c in ("label", "group") for t, f in (("lo", F.min), ("hi", F.max))]
+    mixed = named.groupBy("key").agg(*ends, (1 + F.floor((F.count("*") - 1) / block_rows)).cast("int").alias("blocks"))
+    mixed = mixed.where("lo_label <> hi_label and lo_group <> hi_group").select("key", "blocks")
+    live = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select(
+        "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc_id", "label", "group",
+    ).join(classes.select("doc_id", "signature"), "doc_id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    dealt = dealt.select("key", "a", "b", "block", "doc_id", "label", "group", "signature")
+
+    def cell(block: np.ndarray, ids: np.ndarray, label: np.ndarray, group: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
+        across = np.ascontiguousarray(sig.T)
+        two = bool((block != block[0]).any())
+        u, v = [], []
+        for i in range(len(ids) - 1):
+            ok = (label[i + 1 :] != label[i]) & (group[i + 1 :] != group[i])
+            if two:
+                ok &= block[i + 1 :] != block[i]
+            if ok.any():
+                near = i + 1 + np.flatnonzero(ok)
+                near = near[agreement(sig[i], across[:, near]) >= match]
+                u += np.minimum(ids[i], ids[near]).tolist()
+                v += np.maximum(ids[i], ids[near]).tolist()
+        return u, v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            block, ids, label, group = (batch.column(c).to_numpy() for c in range(3, 7))
+            sig = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            u, v = [], []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y - x > 1:
+                    more = cell(block[x:y], ids[x:y], label[x:y], group[x:y], sig[x:y])
+                    u += more[0]
+                    v += more[1]
+            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        rest: pa.RecordBatch | None = None
         for batch in batches:
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in (2, 3))
-            ok = (s == t).sum(axis=1) >= match
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok))
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            if not rows.num_rows:
+                continue
+            keys = [rows.column(c).to_numpy() for c in range(3)]
+            cuts = [0, *(1 + np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))).tolist()]
+            if len(cuts) > 1:
+                yield found(rows, cuts)
+            rest = rows.slice(cuts[-1])
+        if rest is not None:
+            yield found(rest, [0, rest.num_rows])
 
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "s", "t")
-    return both.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, percent: int = PERCENT) -> DataFrame:
@@ -253,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("group"))
     groups = materialize(assigned.join(of_hub, "hub", "left").select("doc_id", F.coalesce("group", "hub").alias("group")), "groups")
     between = materialize(pairs_of_two_groups(posts, groups, labels, classes, match), "pairs")
-    labels = relabel(labels, links_of_one_group(groups, labels, texts, percent).union(verified(between, texts, percent)))
+    labels = relabel(labels, links_of_one_group(groups, labels, texts, classes, match, percent).union(verified(between, texts, percent)))
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "h1", "h2", F.coalesce("component", "doc_id").alias("component_id")
     )
