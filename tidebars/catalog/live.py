@@ -12,6 +12,7 @@ from tidebars.plans.families import REGISTRY
 from tidebars.session import materialize
 from tidebars.sources import ticks
 from tidebars.streaming import bars as sb
+from tidebars.streaming import episodes as se
 from tidebars.streaming import signals as ss
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -73,3 +74,21 @@ def stream_session(spark, d):
 )
 def stream_signal(spark, d):
     return ss.stream_cross(spark, materialize(ticks.hourly_bars(spark, d), "bars"))
+
+
+EPISODES = {
+    "ep_signal": "SELECT h.symbol, h.ts, h.open, h.fill_spread_fraction AS s, lead(h.open) OVER (PARTITION BY h.symbol ORDER BY h.ts) AS nx, "
+    f"CASE WHEN fast > slow THEN 1 WHEN fast < slow THEN -1 ELSE 0 END AS target FROM hourly_no h JOIN {ema_sql('hourly_no', 'close', {'fast': 12, 'slow': 72})} e USING (symbol, bar_no)",
+    "ep_held": "SELECT *, coalesce(lag(target) OVER w, 0) AS x, coalesce(lag(target, 2) OVER w, 0) AS b, row_number() OVER w AS r FROM ep_signal WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
+    "ep_book": "SELECT *, x * (nx / open - 1) AS g, abs(x - b) * (s / 2 + 0.5 / 1e4) AS c, sum(CASE WHEN r = 1 OR x <> b THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts) AS trade_group "
+    "FROM ep_held WHERE nx IS NOT NULL",
+    "ep_trades": "SELECT symbol, CAST(trade_group AS BIGINT) AS trade_group, min(ts) AS entry_timestamp, max(ts) AS exit_timestamp, CAST(max(x) AS INTEGER) AS direction, arg_min(open, ts) AS entry_price, "
+    "arg_max(nx, ts) AS exit_price, (epoch(max(ts)) - epoch(min(ts))) / 3600 + 1 AS holding_hours, product(1 + g) - 1 AS gross_trade_return, product(1 + g - c) - 1 AS net_trade_return, "
+    "sum(c) AS trade_cost FROM ep_book WHERE x <> 0 GROUP BY symbol, trade_group",
+}
+EPISODE_D = ("entry_price", "exit_price", "holding_hours", "gross_trade_return", "net_trade_return", "trade_cost")
+
+
+@query("stream_trades", f"SELECT symbol, trade_group, entry_timestamp, exit_timestamp, direction, {dbl(*EPISODE_D)} FROM ep_trades", EPISODES)
+def stream_trades(spark, d):
+    return se.replay(spark, materialize(ticks.hourly_bars(spark, d), "bars")).drop("closed")

@@ -8,6 +8,9 @@ watermark; sessions run in complete mode, which keeps all of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidebars.operators.quality import keep_last
@@ -29,6 +32,24 @@ EVENTS = T.StructType(
 )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of several columns and maps needs the RocksDB store; the session's own choice is put back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; event time must carry a zone to be watermarked."""
     files = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

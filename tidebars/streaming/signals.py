@@ -11,9 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidebars import schemas
 from tidebars.session import shared_folder
-from tidebars.streaming.bars import run_to_end, versions
+from tidebars.streaming.bars import rocksdb, run_to_end, versions
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "symbol string, ts timestamp, fast double, slow double, target int, executed int"
 
 
@@ -56,10 +55,7 @@ def stream_cross(spark: SparkSession, bars: DataFrame, fast: int = 12, slow: int
     # The feed is in time order: everything before one moment, then the rest.
     span = bars.agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"), F.unix_micros(F.max("ts").cast("timestamp")).alias("b")).first()
     middle = F.unix_micros(F.col("ts").cast("timestamp")) < F.lit(((span["a"] or 0) + (span["b"] or 0)) // 2)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
+    with rocksdb(spark):
         for part in (middle, ~middle):
             bars.filter(part).select("symbol", "ts", "close").write.mode("append").parquet(feed_path)
             feed = spark.readStream.schema(schema).parquet(feed_path)
@@ -67,10 +63,5 @@ def stream_cross(spark: SparkSession, bars: DataFrame, fast: int = 12, slow: int
                 statefulProcessor=CrossSignal(fast, slow), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
             )
             done = run_to_end(signal, "append", "signals", out_path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     out = versions(spark, done, signal.schema).drop("version")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("fast", "slow")})
