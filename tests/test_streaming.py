@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidebars.session import shared_folder
+from tidebars.streaming import corrections as co
 from tidebars.streaming import episodes as ep
 
 START = dt.datetime(2024, 1, 1)
@@ -72,3 +73,32 @@ def test_bad_spread_stops_the_stream(spark):
     spark.createDataFrame(rows, ep.FEED).write.parquet(feed)
     with pytest.raises(Exception, match="fill_spread_fraction"):
         ep.run_episodes(spark, feed, shared_folder(spark, "episodes"), 2, 3, 1)
+
+
+def test_batches_merge_once(spark):
+    """A batch that dies between data and commit leaves the old snapshot; replayed it applies; replayed again it does nothing."""
+    schema = "symbol string, ts timestamp, close double, ingest_seq long"
+    path = shared_folder(spark, "corrected")
+
+    def bars(*rows):
+        return spark.createDataFrame([(s, START + dt.timedelta(days=d), c, q) for s, d, c, q in rows], schema)
+
+    def now(upto=None):
+        return {(r.symbol, (r.ts - START).days): r.close for r in co.read(spark, path, first.schema, upto=upto).collect()}
+
+    first = bars(("A", 0, 1.0, 1), ("A", 40, 2.0, 1), ("B", 0, 3.0, 1), ("B", 0, 3.5, 2))
+    co.create(spark, path, first.schema)
+    assert now() == {}
+    assert co.merge_batch(first, 0, path)
+    before = {("A", 0): 1.0, ("A", 40): 2.0, ("B", 0): 3.5}
+    assert now() == before
+    # Corrects A 0 (a tie goes to the incoming bar), keeps B 0 (older), adds A 1 and C 0; A's second month stays as it is.
+    second = bars(("A", 0, 1.5, 1), ("B", 0, 9.0, 1), ("A", 1, 4.0, 1), ("C", 0, 5.0, 1))
+    # Half a version without a commit is not seen.
+    half = second.withColumn("symbol", co.F.lit("A")).withColumn("month", co.F.lit("2024-01"))
+    half.write.partitionBy("symbol", "month").parquet(f"{path}/data/version=1")
+    assert now() == before
+    after = {("A", 0): 1.5, ("A", 1): 4.0, ("A", 40): 2.0, ("B", 0): 3.5, ("C", 0): 5.0}
+    assert co.merge_batch(second, 1, path) and now() == after
+    assert not co.merge_batch(second, 1, path) and now() == after
+    assert now(upto=0) == before

@@ -12,6 +12,7 @@ from tidebars.plans.families import REGISTRY
 from tidebars.session import materialize
 from tidebars.sources import ticks
 from tidebars.streaming import bars as sb
+from tidebars.streaming import corrections as sc
 from tidebars.streaming import episodes as se
 from tidebars.streaming import signals as ss
 
@@ -92,3 +93,8 @@ EPISODE_D = ("entry_price", "exit_price", "holding_hours", "gross_trade_return",
 @query("stream_trades", f"SELECT symbol, trade_group, entry_timestamp, exit_timestamp, direction, {dbl(*EPISODE_D)} FROM ep_trades", EPISODES)
 def stream_trades(spark, d):
     return se.replay(spark, materialize(ticks.hourly_bars(spark, d), "bars")).drop("closed")
+
+
+@query("stream_corrections", f"SELECT symbol, ts, {dbl('open', 'close')} FROM (SELECT symbol, ts, open, CASE WHEN CAST(epoch(ts) / 3600 AS BIGINT) % 60 % 4 = 0 THEN close * 2 ELSE close END AS close FROM bars_h)")
+def stream_corrections(spark, d):
+    return sc.replay(spark, ticks.hourly_bars(spark, d)).select("symbol", "ts", "open", "close")
