@@ -132,3 +132,20 @@ def test_every_candidate_has_a_row_in_every_gate(tables):
     _, _, found = tables
     n = 3 * sum(len(REGISTRY[f].combinations()) for f in ("trend_sma", "mean_reversion_rsi", "volatility_squeeze"))
     assert [t.select("candidate_id").distinct().count() for t in found] == [n] * 4
+
+
+def test_recursions_in_lanes_equal_windows(spark):
+    """Exponential means of exponential means, blocks with halos, missing values before the seed."""
+    from tidebars.functions import indicators as ind
+    from tidebars.operators.panel import make_panel
+
+    bars = spark.range(3000).selectExpr("cast(id % 2 as string) symbol", "cast(id div 2 as int) bar_no", "50 + 10 * sin(id / 40) + pmod(hash(id), 100) / 50 close")
+    rows = []
+    for in_lanes in (False, True):
+        p = make_panel(bars, ("symbol",), 2 * ind.ema_halo(8) + 1, 700, in_lanes)
+        p = ind.ema(ind.returns(ind.macd(ind.macd(p, 3, 8, 4), 3, 6, 5)), "ret1", 7, "rema_7", seed=1)
+        rows.append(p.settle().orderBy("symbol", "bar_no").select("symbol", "bar_no", "ema_3", "macd_3_8", "macdsig_3_8_4", "macdsig_3_6_5", "rema_7").toPandas())
+    windows, lanes = rows
+    assert len(lanes) == 3000 and (windows[["symbol", "bar_no"]] == lanes[["symbol", "bar_no"]]).all(axis=None)
+    for c in windows.columns[2:]:
+        assert np.allclose(windows[c], lanes[c], rtol=1e-9, atol=1e-12, equal_nan=True), c

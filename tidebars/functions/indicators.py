@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, functions as F, Window
 
-from tidebars.operators.panel import Panel
+from tidebars.operators.panel import Panel, Recursion
 
 
 def num(value: float) -> str:
@@ -135,11 +135,13 @@ def ema(p: Panel, col: str, span: int, name: str, seed: int = 0) -> Panel:
 
     The recursion e[t] = q*e[t-1] + a*x[t] is a prefix sum once each term is scaled by
     q**-p. Scaling restarts every ``ema_chunk`` bars to stay inside double range, and the
-    chunk before it is carried in; anything older weighs less than exp(-40).
+    chunk before it is carried in; anything older weighs less than exp(-40). A panel with lanes recurs bar by bar instead.
     """
     if p.has(name):
         return p
     alpha = 2 / (span + 1)
+    if p.in_lanes:
+        return p.add(**{name: Recursion(col, alpha, seed, seed + span - 1)})
     q = 1 - alpha
     size = ema_chunk(span)
     t = F.col("bar_no") - seed

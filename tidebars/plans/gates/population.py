@@ -1,7 +1,7 @@
 """All four gates over the whole routed population.
 
-Signals. Spark computes indicators, once per window or span; parameter sets that differ in thresholds only share them, and
-the rules that columns obey elsewhere are applied to the Arrow batches of these indicators, one character per bar and
+Signals. Spark computes indicators, once per window; exponential means of all spans advance together as lanes of one Arrow
+kernel per block. Parameter sets that differ in thresholds only share indicators, and the rules that columns obey elsewhere are applied to the Arrow batches of these indicators, one character per bar and
 parameter set. Plans are prepared side by side, as planning takes longer than running them.
 
 Gates. The stored signals are folded once into summaries of pieces (``tidebars.operators.ranges``), and every window that
@@ -32,8 +32,8 @@ from tidebars.plans.families import REGISTRY, Family, Held, Params, reading
 from tidebars.plans.gates import oos, resample, stress, walkforward
 from tidebars.session import materialize, shared_folder
 
-#: Parameter sets with indicators of their own per plan, plans prepared at the same time.
-GROUPS_PER_PLAN, PLANS_AT_ONCE = 27, 8
+#: Parameter sets with indicators of their own per plan (and where only spans of recursions tell them apart), plans prepared at the same time.
+GROUPS_PER_PLAN, SPANS_PER_PLAN, PLANS_AT_ONCE = 27, 108, 8
 #: Candidates per Fourier transform, redrawn sequences per task.
 SHIFT_BATCH, DRAW_BATCH = 32, 250
 
@@ -156,10 +156,11 @@ def plan_groups(bars: dict[str, DataFrame], all_sets: Variants) -> list[list[Gro
         for value, members in found.items():
             bucket.setdefault(value, []).append(Group(family, members[0][1], tuple(i for i, _ in members), tuple(p for _, p in members)))
     plans = []
-    for bucket in alike.values():
+    for (_, fixed, _), bucket in alike.items():
         current: list[Group] = []
+        most = SPANS_PER_PLAN if fixed and all(n.endswith("span") for n in fixed) else GROUPS_PER_PLAN
         for value in sorted(bucket):
-            if current and len(current) + len(bucket[value]) > GROUPS_PER_PLAN:
+            if current and len(current) + len(bucket[value]) > most:
                 plans.append(current)
                 current = []
             current = current + bucket[value]
@@ -202,7 +203,7 @@ def signal_maps(series: DataFrame, groups: list[Group], chunk: int) -> str:
     sets = [(g.family, p) for g in groups for p in g.sets]
     if groups[0].family == "trend_psar":
         series = sar_codes(series, keys, [p for _, p in sets])
-    panel = make_panel(series, keys, max(int(REGISTRY[f].lookback(p)) for f, p in sets) + 2)
+    panel = make_panel(series, keys, max(int(REGISTRY[f].lookback(p)) for f, p in sets) + 2, in_lanes=True)
     for g in groups:
         panel = REGISTRY[g.family].prepare(panel, g.fixed)
     names = sorted(set().union(*[g.reads() for g in groups]))
