@@ -3,12 +3,13 @@
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled texts: up to ``DICT_BYTES``
 bytes of pieces of at most ``PIECE_BYTES`` each. A text is encoded with every dictionary, in blocks of ``BLOCK_BYTES``
 bytes (so that a long text meets the dictionary all along, and not only itself), and the language whose encoding is
-smallest wins; short texts are encoded at a level that finds short matches. Sizes are in bits, plus the bits of the
+smallest wins; every text at the same compression ``LEVEL``, one that finds short matches. Sizes are in bits, plus the bits of the
 language's share among labelled texts, which settles ties of very short texts; further ties go to the first name.
 A margin under ``margin`` of the second-best size is narrow: such rows are marked ``rejected`` and keep the best guess.
 
 ``und`` is the answer for null texts and texts without a letter, and where nothing was learned. Every whole text is
-encoded, as lower-case words parted by blanks. Rows without label are not learned from. Other columns are ignored.
+encoded, as lower-case words parted by blanks. Rows without label are not learned from. Repeated rows are learned from once
+and answered alike; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from tidebars.llm.common import id_text
 DICT_BYTES = 112 << 10
 PIECE_BYTES = 1 << 10
 BLOCK_BYTES = 1 << 9
-SHORT_BYTES = 1 << 9
+LEVEL = 12
 MARGIN = 0.01
 UNKNOWN = "und"
 
@@ -72,19 +73,17 @@ class Sizes:
     def __init__(self, learned: dict[str, tuple[bytes, float]]):
         self.langs = list(learned)
         self.prior = [-math.log2(share) for _, share in learned.values()]
-        self.fast, self.fine = [], []
+        self.coders = []
         for content, _ in learned.values():
-            for level, to in ((3, self.fast), (19, self.fine)):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
-                if d is not None:
-                    d.precompute_compress(level=level)
-                plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-                to.append(zstandard.ZstdCompressor(level=level, dict_data=d, **plain) if d is not None else zstandard.ZstdCompressor(level=level, **plain))
+            plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+            if len(content) >= 8:
+                plain["dict_data"] = d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(**plain))
 
     def bits(self, text: bytes) -> list[float]:
-        coders = self.fine if len(text) <= SHORT_BYTES else self.fast
         blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
-        return [8 * sum(len(c.compress(b)) for b in blocks) + p for c, p in zip(coders, self.prior, strict=True)]
+        return [8 * sum(len(c.compress(b)) for b in blocks) + p for c, p in zip(self.coders, self.prior, strict=True)]
 
 
 _OPEN: dict[int, Sizes] = {}
