@@ -8,8 +8,8 @@ added up per word, and words are written as sorted arrays too, cut by the leadin
 
 Scoring: p(w|v) = (c(vw) - D)/c(v) + gamma(v) * p(w), where p(w) = (n(w) - D')/n + gamma * 1/(V+1) uses the number n(w) of
 contexts of w. Discounts D1, D2, D3+ follow from the counts of counts of each order. Workers map the arrays and look up the
-distinct words and pairs of a few megabytes of text at a time, in sorted order. Words are known by 48 bits of their hash,
-pairs by 64.
+distinct words and pairs of a few megabytes of text at a time, in sorted order. Words are known by 63 bits of their hash,
+pairs by 64. Buckets and word shards are as many as keep each below ``PART_ROWS`` rows on average.
 
 A text is its words (A-Z in lower case) and one end. Null text has the end only. Files are written under a hidden name
 and renamed. An empty training set gives every token probability 1/(V+1) = 1. Rows that repeat an id are scored alike.
@@ -34,10 +34,12 @@ BEGIN, END = 1, 2
 HOT_PARTS = 2_000
 FLUSH_PAIRS = 2_000_000
 BUCKETS_PER_PARTITION = 4
+PART_ROWS = 4_000_000
+WORD_BITS = 63
 
 
 def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit ids of all texts, each as begin, words, end; and where each text starts (one more at the end)."""
+    """Ids (``WORD_BITS`` bits, so that a signed integer holds them) of all texts, each as begin, words, end; and where each text starts (one more at the end)."""
     w = scan_words(texts, BLANK, LOWER)
     sizes = np.diff(w.offsets) + 2
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -46,7 +48,7 @@ def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[starts[1:] - 1] = END
     middle = np.ones(len(out), bool)
     middle[starts[:-1]] = middle[starts[1:] - 1] = False
-    out[middle] = w.hashes >> np.uint64(16)
+    out[middle] = w.hashes >> np.uint64(64 - WORD_BITS)
     return out, starts
 
 
@@ -80,34 +82,24 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return k[start], order[start], total
 
 
-def six(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_six(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
 def pack(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     """Pairs sorted by context: contexts once, then run lengths, successors and counts."""
     start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     runs = np.diff(np.concatenate([start, [len(a)]]))
-    return b"".join([struct.pack("<II", len(start), len(a)), six(a[start]), runs.astype("<u4").tobytes(), six(b), c.astype("<u4").tobytes()])
+    return b"".join([struct.pack("<II", len(start), len(a)), a[start].astype("<u8").tobytes(), runs.astype("<u4").tobytes(), b.astype("<u8").tobytes(), c.astype("<u4").tobytes()])
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m, n = struct.unpack_from("<II", raw)
     at = 8
-    ctx, at = from_six(raw[at : at + 6 * m]), at + 6 * m
+    ctx, at = np.frombuffer(raw, "<u8", m, at), at + 8 * m
     runs, at = np.frombuffer(raw, "<u4", m, at), at + 4 * m
-    b, at = from_six(raw[at : at + 6 * n]), at + 6 * n
+    b, at = np.frombuffer(raw, "<u8", n, at), at + 8 * n
     return np.repeat(ctx, runs), b, np.frombuffer(raw, "<u4", n, at).astype(np.int64)
 
 
-def frequent_words(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Words that make up at least one part in ``HOT_PARTS`` of what the tasks report, and the number of texts."""
+def frequent_words(texts: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Words that make up at least one part in ``HOT_PARTS`` of what the tasks report, and the numbers of texts and of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in each_text(batches):
@@ -120,7 +112,7 @@ def frequent_words(texts: DataFrame) -> tuple[np.ndarray, int]:
     found = {r["w"]: r["c"] for r in hot_rows(texts.mapInArrow(run, "w long, c long"))}
     total = found.get(-1, 0)
     hot = sorted(w for w, c in found.items() if w >= 0 and c * HOT_PARTS >= total)
-    return np.array(hot, np.uint64), found.get(-2, 0)
+    return np.array(hot, np.uint64), found.get(-2, 0), total
 
 
 def hot_rows(counts: DataFrame) -> list:
@@ -252,9 +244,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     folder = shared_folder(spark, "model")
     make_folder(spark, folder)
     texts = id_text(docs, id_col, text_col)
-    hot, n_texts = frequent_words(texts)
+    hot, n_texts, n_tokens = frequent_words(texts)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = BUCKETS_PER_PARTITION * partitions
+    n_buckets = max(BUCKETS_PER_PARTITION * partitions, -(-n_tokens // PART_ROWS))
     rows = count_pairs(texts, hot, n_buckets, folder)
     words = materialize(rows.groupBy("w").agg(*[F.sum(s).alias(s) for s in STATS]), "words")
     words = words.withColumn("count", F.when(F.col("w") == END, F.lit(n_texts)).when(F.col("w") == BEGIN, F.lit(0)).otherwise(F.col("total")))
@@ -266,10 +258,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     held = F.sum(F.col("follows") - discounted(F.col("follows"), lower))
     left_over = float(words.agg(held).first()[0] or 0) / types if types else 1.0
     unseen = left_over / (vocabulary + 1)
-    shard_bits = max(0, (partitions - 1).bit_length())
+    shard_bits = max(partitions - 1, vocabulary // PART_ROWS).bit_length()
     total = F.greatest(F.col("total"), F.lit(1))
     values = words.select(
-        "w", "count", F.shiftright("w", 48 - shard_bits).alias("shard"), "total",
+        "w", "count", F.shiftright("w", WORD_BITS - shard_bits).alias("shard"), "total",
         F.when(F.col("total") > 0, (upper[0] * F.col("n1") + upper[1] * F.col("n2") + upper[2] * F.col("n3")) / total).otherwise(1.0).alias("gamma"),
         (discounted(F.col("follows"), lower) / max(1, types) + unseen).alias("lower"),
     )
@@ -332,7 +324,7 @@ class Arrays:
     def words(self, ids: np.ndarray) -> list[np.ndarray]:
         """count, total, gamma, lower of sorted distinct words."""
         out = [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.ones(len(ids)), np.full(len(ids), self.model.unseen)]
-        shard = (ids >> np.uint64(48 - self.model.shard_bits)).astype(np.int64)
+        shard = (ids >> np.uint64(WORD_BITS - self.model.shard_bits)).astype(np.int64)
         for place, at, part in self._each(ids, shard, "words", WORD_KINDS):
             for column, values in zip(out, part[1:], strict=True):
                 column[place] = values[at]
