@@ -2,7 +2,7 @@
 
 Learning uses a bounded, hash-drawn sample of labelled rows (``MAX_TRAIN`` expected; rows that share their least word
 5-gram count once, so groups of copies have one vote):
-1. Terms are words and word stems (a stem stands for its proper extensions). A term enters the lexicon when toxic documents
+1. Terms are words and word stems of ``STEM`` to ``LONGEST_STEM`` letters (a stem stands for its proper extensions). A term enters the lexicon when toxic documents
    have it significantly more often (log-likelihood ratio at least ``EVIDENCE``); its weight is its log odds.
 2. Misspellings: the trie of whole-word terms is intersected with the Levenshtein automaton for one edit (two from
    ``TWO_EDITS`` letters, none under ``ONE_EDIT``). States are determinised when they are first met and kept, so a
@@ -11,7 +11,8 @@ Learning uses a bounded, hash-drawn sample of labelled rows (``MAX_TRAIN`` expec
    other documents); with quotation marks around the hit they scale it, which tells quotation from abuse.
 4. A logistic regression on a few sums of these (strongest hit, plain hits, near hits, quoted hits, density) gives the score.
 
-Labels, language, source and ids are never inputs of a score. Null and empty texts score as texts without a hit. Without
+All terms that reach the evidence enter; ties and repeated rows change nothing, as documents of either kind are counted.
+An empty table of documents gives no scores. Labels, language, source and ids are never inputs of a score. Null and empty texts score as texts without a hit. Without
 labelled rows of both kinds every score is the share of toxic rows (0.0 without any). Other columns are ignored.
 """
 
@@ -31,10 +32,9 @@ from tidebars.llm.common import Memo, gram_hashes, id_text, scan_words
 from tidebars.session import materialize
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 5_000
 EVIDENCE = 12.0
 LEAST_DOCS = 4
-STEM = 4
+STEM, LONGEST_STEM = 4, 11
 ONE_EDIT = 5
 TWO_EDITS = 8
 CONTEXT = 4
@@ -210,7 +210,7 @@ class Matcher:
 
 def terms_in(words: set[str]) -> set[str]:
     """Words and stems of a document."""
-    return words | {w[:n] + "*" for w in words for n in range(STEM, min(len(w), 12))}
+    return words | {w[:n] + "*" for w in words for n in range(STEM, min(len(w), LONGEST_STEM + 1))}
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
@@ -282,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = F.col("pos") + F.col("neg")
     gain = F.col("pos") * F.ln(F.col("pos") / (n * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.ln(F.col("neg") / (n * (1 - share)))).otherwise(0.0)
     strong = terms.where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") > n * share)).withColumn("gain", gain).where(F.col("gain") >= evidence)
-    best = strong.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
+    best = strong.orderBy(F.desc("gain"), "term").collect()  # terms of at least LEAST_DOCS rows of the bounded sample
     lexicon = Lexicon(terms={r["term"]: log_odds(r["pos"], r["neg"], n_pos, n_neg) for r in best})
     lexicon.terms = {t: w for t, w in lexicon.terms.items() if w > 1.0}
 
