@@ -161,10 +161,14 @@ def top_candidates(spark, d):
     return report.top_candidates(r.metrics, r.funnel)
 
 
+# Figures are printed from nine decimals, so that the order in which a mean was summed decides no tie; an undefined Sharpe is empty.
+SHOWN = {"net_annual_return": ("%.1f%%", 100), "net_max_drawdown": ("%.1f%%", 100), "net_sharpe": ("%.3f", 1), "oos_net_sharpe": ("%.3f", 1), "permutation_p_value": ("%.3f", 1)}
+
+
 @query(
     "survivor_table",
-    """SELECT 'survivor' AS result, candidate_id, printf('%.1f%%', net_annual_return * 100) AS net_annual_return, printf('%.1f%%', net_max_drawdown * 100) AS net_max_drawdown,
-  printf('%.3f', net_sharpe) AS net_sharpe, printf('%.3f', oos_net_sharpe) AS oos_net_sharpe, printf('%.3f', permutation_p_value) AS permutation_p_value FROM r_surv""",
+    f"""SELECT 'survivor' AS result, candidate_id, {', '.join(f"CASE WHEN isfinite({c}) THEN printf('{p}', round({c} * {m}, {report.KEPT_DECIMALS}) + 0.0) ELSE '' END AS {c}" for c, (p, m) in SHOWN.items())} FROM r_surv
+UNION ALL SELECT 'No candidate passed all four validation layers.', {', '.join(['NULL'] * (1 + len(SHOWN)))} WHERE NOT EXISTS (SELECT * FROM r_surv)""",
 )
 def survivor_table(spark, d):
     return report.survivor_table(_survivors(Results(spark, d)), ["net_annual_return", "net_max_drawdown"], ["net_sharpe", "oos_net_sharpe", "permutation_p_value"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 LAYERS = (1, 2, 3, 4)
@@ -122,13 +124,29 @@ def report_summary(metrics: DataFrame, funnel: DataFrame) -> DataFrame:
     )
 
 
+#: Decimals kept before a figure is printed: what lies beyond depends on the order in which a mean was summed.
+KEPT_DECIMALS = 9
+
+
+def printed(value: Column, decimals: int) -> Column:
+    """Fixed decimals of the double's exact value, halves to even, as C and Python print it; an undefined value gives the empty text.
+
+    ``format_string`` rounds the shortest decimal form half up instead, and so differs on ties.
+    """
+
+    @F.pandas_udf("string")
+    def fixed(x: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.{decimals}f}" if np.isfinite(v) else "" for v in x], dtype=object)
+
+    return fixed(F.round(value, KEPT_DECIMALS) + F.lit(0.0))  # no negative zero
+
+
 def percent(col: str, decimals: int = 1) -> Column:
-    text = F.format_string(f"%.{decimals}f%%", F.col(col) * 100)
-    return F.when(F.col(col).isNotNull(), text).otherwise("").alias(col)
+    return F.when(F.col(col).isNotNull(), F.concat(printed(F.col(col) * 100, decimals), F.lit("%"))).otherwise("").alias(col)
 
 
 def decimal(col: str, decimals: int = 2) -> Column:
-    return F.when(F.col(col).isNotNull(), F.format_string(f"%.{decimals}f", F.col(col))).otherwise("").alias(col)
+    return printed(F.col(col), decimals).alias(col)
 
 
 def top_candidates(metrics: DataFrame, funnel: DataFrame, k: int = 10) -> DataFrame:
