@@ -6,10 +6,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
 from edge_tables import documents, edge_rows
 from tokenizers import Tokenizer
 
 from tidebars.llm import queries, token_files
+from tidebars.llm.common import Memo
 from tidebars.session import shared_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,3 +57,28 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = queries.QUERIES["op6_token_files"](spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, out), key=lambda r: r[1]) == expected(rows)
+
+
+def test_chunks_in_one_call_are_told_apart_by_their_bytes(monkeypatch):
+    """No zero characters are encoded beside the chunks, and each chunk is asked for once."""
+    monkeypatch.setattr(token_files.LibraryEncoder, "marked", lambda self, texts: pytest.fail("zero characters were encoded"))
+    encoder = token_files.LibraryEncoder(PATH)
+    texts = ["", " ", "a\0b", "\0", "Été — ça va", " word", "word", "\U0001f600\U0001f600 x", "it's\n\nso  ", "###"]
+    assert encoder.cut and encoder.many(texts) == [encoder.packed(t) for t in texts]
+    assert encoder.encode(texts) == [encoder.packed(t) for t in texts]
+    monkeypatch.setattr(encoder.chunks, "many", lambda texts: pytest.fail("a known chunk was encoded again"))
+    assert encoder.encode(texts) == [encoder.packed(t) for t in texts]
+
+
+def test_tokens_of_other_sizes_fall_back_to_marks():
+    encoder = token_files.LibraryEncoder(PATH)
+    encoder.sizes = encoder.sizes + 1
+    assert encoder.many([" word", "a", "Été"]) == [encoder.packed(t) for t in (" word", "a", "Été")]
+
+
+def test_known_keys_of_both_generations():
+    memo = Memo(len, 1)
+    memo.update(a=1, b=1)
+    memo.trim()
+    memo["c"] = 1
+    assert memo.unknown({"a", "c", "d"}) == {"d"} and memo.unknown(set()) == set()

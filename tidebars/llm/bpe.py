@@ -58,9 +58,9 @@ class Chunks:
         A mark after a Latin letter begins a match of its own, so ``word,`` is put together from ``word`` and ``,``.
         """
         cut = [self.cut(t) for t in texts]
-        new = set().union(*cut).difference(self.known, self.known.older) if cut else set()
+        new = self.known.unknown(set().union(*cut))
         marked = {c for c in new if c[-1:] in self.MARKS and c[-2:-1].isalpha() and c[-2] < self.LATIN_END}
-        plain = (new - marked).union({c[:-1] for c in marked}, {c[-1] for c in marked}).difference(self.known, self.known.older)
+        plain = (new - marked) | self.known.unknown({c[:-1] for c in marked} | {c[-1] for c in marked})
         for some in batched(plain, 100_000):
             self.known.update(zip(some, self.many(list(some)), strict=True))
         self.known.update((c, self.known[c[:-1]] + self.known[c[-1]]) for c in marked)
@@ -213,7 +213,7 @@ class Merger:
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         found = [[p.encode() for p in self.find(c)] for c in chunks]
-        new = list({p for ps in found for p in ps}.difference(self.pieces, self.pieces.older))
+        new = list(self.pieces.unknown({p for ps in found for p in ps}))
         self.pieces.update(zip(new, self.merge_many(new), strict=True))
         out = [b"".join(map(self.pieces.__getitem__, ps)) for ps in found]
         self.pieces.trim()

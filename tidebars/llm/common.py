@@ -12,6 +12,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,10 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def unknown(self, keys: set) -> set:
+        """Keys in neither generation, by one look-up each (``set.difference`` would walk the whole cache)."""
+        return set(filterfalse(self.older.__contains__, filterfalse(self.__contains__, keys)))
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.older = dict(self)

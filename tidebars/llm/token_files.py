@@ -50,6 +50,8 @@ class LibraryEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.zero = self.whole("\0")[-1:]
+        # A byte-level token has one character per byte; where that does not hold, the sums in ``many`` tell.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)], np.int64)
         self.chunks = Chunks(self.many, 400_000)
         self.cut = len(self.zero) == 1 and [x for x in self.chunks.encode(list(self.SAMPLES))] == [self.packed(t) for t in self.SAMPLES]
 
@@ -60,7 +62,18 @@ class LibraryEncoder:
         return np.array(self.whole(text), "<u4").tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """One call for all chunks: each is followed by a zero character, whose id ends it."""
+        """One call for all chunks, whose ids are told apart by the bytes they stand for."""
+        ids = np.array(self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4") if texts else np.empty(0, "<u4")
+        stop = np.cumsum([len(t.encode()) for t in texts], dtype=np.int64)
+        reach = np.cumsum(self.sizes[ids])
+        ends = np.searchsorted(reach, stop, side="right")
+        if len(reach) and ends[-1] == len(reach) and (np.concatenate([[0], reach])[ends] == stop).all():
+            cut, raw = (4 * ends).tolist(), ids.tobytes()
+            return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return self.marked(texts)
+
+    def marked(self, texts: list[str]) -> list[bytes]:
+        """``many`` for tokens that do not stand for their bytes: a zero character follows each chunk, and its id ends it."""
         if any("\0" in t for t in texts):
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         row = [x for t in texts for x in (t, "\0")]
