@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from edge_tables import documents, edge_rows
@@ -82,3 +83,48 @@ def test_known_keys_of_both_generations():
     memo.trim()
     memo["c"] = 1
     assert memo.unknown({"a", "c", "d"}) == {"d"} and memo.unknown(set()) == set()
+
+
+def test_known_chunks_cost_no_step_of_their_own(monkeypatch):
+    """Chunks of a piece are looked up at once, new ones go to the library side by side, a word once for all its marks."""
+    encoder = token_files.LibraryEncoder(PATH)
+    words = [f" w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = "".join(w + mark for mark in ("", ",", ".", "!") for w in words)
+    rows, looked = [], []
+    ask, places = encoder.ask, encoder.chunks.places
+    monkeypatch.setattr(encoder, "ask", lambda texts: (rows.extend(texts), ask(texts))[1])
+    monkeypatch.setattr(encoder.chunks, "places", lambda parts: (looked.append(len(parts)), places(parts))[1])
+    assert encoder.encode([text] * 50) == [encoder.packed(text)] * 50
+    assert rows == ["".join(words)] and len(looked) == 1 and looked[0] < 1000
+    monkeypatch.setattr(encoder.chunks, "many", lambda texts: pytest.fail("a known word was encoded again"))
+    assert encoder.encode([" wak, wjt!"]) == [encoder.packed(" wak, wjt!")]
+
+
+def test_small_tables_and_pieces_give_the_ids_of_whole_texts():
+    encoder = token_files.LibraryEncoder(PATH)
+    encoder.chunks.limit = 20
+    rows = [t or "" for _, t in edge_rows()] + ["", "Été, ça!\nva: l'été.\n", "a\nb\n\nc", "ǅ, ª. º! x", "no <|endoftext|>, no.", " ", "\n", "word,word ,, .word,"]
+    texts = pa.array([t.encode("utf-8", "surrogatepass") for t in rows * 3], pa.binary())
+    batches = [pa.record_batch([pa.array(range(i, i + 2)), texts.slice(i, 2)], ["doc_id", "text"]) for i in range(0, len(texts) - 1, 2)]
+    got, keys = [], []
+    for ids, piece in token_files.text_pieces(iter(batches), 100):
+        values, at = encoder.encode_texts(piece)
+        got += [values[a:b].tolist() for a, b in zip(at, at[1:])]
+        keys += ids.to_pylist()
+        assert len(encoder.chunks.keys) == len(encoder.chunks.ids) == len(encoder.chunks.seen) <= 20
+    assert keys == list(range(len(keys))) and len(keys) >= len(texts) - 1
+    assert got == [encoder.whole(t) for t in (rows * 3)[: len(keys)]]
+
+
+def test_invalid_bytes_become_replacement_characters():
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([b"a\xff b", b"c"])], ["doc_id", "text"])
+    assert [t for _, p in token_files.text_pieces(iter([batch])) for t in p.to_pylist()] == ["a� b", "c"]
+
+
+def test_row_groups_are_bounded_inside_a_piece(spark):
+    folder = shared_folder(spark, "groups")
+    docs = documents(spark, [(i, "some words here " * 20) for i in range(100)]).coalesce(1)
+    files = token_files.write_tokens(docs, PATH, 2, folder, group_tokens=500).collect()
+    meta = pq.ParquetFile(f"{folder}/part-{files[0].part:06d}.parquet").metadata
+    groups = [pq.ParquetFile(f"{folder}/part-{files[0].part:06d}.parquet").read_row_group(i, ["n_tokens"]).column(0).to_pylist() for i in range(meta.num_row_groups)]
+    assert all(sum(g) - g[-1] < 500 for g in groups) and max(map(len, groups)) < 100
