@@ -6,13 +6,16 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidebars.catalog import gates, signals
+from tidebars.catalog.population import universe
 from tidebars.functions import normal
 from tidebars.functions.indicators import num
-from tidebars.operators import candidates
+from tidebars.operators import asof, candidates
 from tidebars.plans.families import REGISTRY
 from tidebars.plans.gates import oos, population, resample, stress, walkforward
 from tidebars.session import materialize
 from tidebars.operators.panel import number_bars
+from tidebars.sources import ticks
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +88,26 @@ def test_normal_distribution(spark):
     rows = spark.createDataFrame(list(zip(ps, xs)), "p double, x double").selectExpr("p", "x", f"{normal.quantile('p')} AS q", f"{normal.distribution('x')} AS d").collect()
     for r in rows:
         assert r.q == pytest.approx(n.inv_cdf(r.p), abs=1e-12) and r.d == pytest.approx(n.cdf(r.x), abs=1e-14)
+
+
+@pytest.mark.parametrize("name", ["final_funnel", "deflated_probability", "l3_gate"])
+def test_raw_tables_are_read_once(spark, monkeypatch, name):
+    """All gates work on one stored table of bars, and bars are enriched from stored series."""
+    read, enrich = [], asof.enrich
+    raw = ticks.table
+    monkeypatch.setattr(ticks, "table", lambda s, d, t: (read.append(t), raw(s, d, t))[1])
+
+    def stored(bars, macro):
+        assert not any(f"/{t}.parquet" in f for t in ("orders", "customer") for f in macro.inputFiles())
+        return enrich(bars, macro)
+
+    monkeypatch.setattr(asof, "enrich", stored)
+    getattr(gates, name)(spark, "/root/testdata/sf0.001").collect()
+    assert read.count("lineitem") == 1 and read.count("orders") <= 1 and "events" not in read
+
+
+def test_universe_and_pairs_from_stored_bars(spark):
+    sf = "/root/testdata/sf0.001"
+    bars = materialize(signals.stored_daily(spark, sf, macro=True), "bars")
+    for part in (universe, signals.stored_pairs):
+        assert sorted(map(str, part(spark, sf, bars).collect())) == sorted(map(str, part(spark, sf).collect()))

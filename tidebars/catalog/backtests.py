@@ -202,5 +202,5 @@ def population_ctes() -> dict[str, str]:
 )
 def backtest_all(spark, d):
     single = stored_daily(spark, d, macro=True)
-    pairs = stored_pairs(spark, d)
-    return grid_backtest(single, pairs, universe=universe(spark, d)).select(*CK, "first_observation", "last_observation", *ALL_I, *ALL_D)
+    pairs = stored_pairs(spark, d, single)
+    return grid_backtest(single, pairs, universe=universe(spark, d, single)).select(*CK, "first_observation", "last_observation", *ALL_I, *ALL_D)

@@ -13,9 +13,9 @@ from tidebars.session import materialize
 from tidebars.sources import ticks
 
 
-def universe(spark, d):
-    """Daily symbols with their instrument attributes, and the pairs that overlap."""
-    bars = materialize(ticks.daily_bars(spark, d).select("symbol", "ts", "close", "fill_spread_fraction"), "bars")
+def universe(spark, d, bars=None):
+    """Daily symbols with their instrument attributes, and the pairs that overlap; ``bars`` are stored daily bars, if there are any."""
+    bars = materialize(ticks.daily_bars(spark, d).select("symbol", "ts", "close", "fill_spread_fraction"), "bars") if bars is None else bars
     dim = quality.instruments(spark).select("symbol", "sec_type", "what_to_show")
     single = bars.select("symbol").distinct().join(dim, "symbol").select("symbol", F.lit("single").alias("kind"), "sec_type", "what_to_show")
     pair = pairs.aligned_pairs(bars).select("symbol").distinct()

@@ -21,15 +21,17 @@ def numbered_daily(spark, d):
 
 
 def stored_daily(spark, d, macro: bool = False):
-    """Daily bars written once, then numbered: research reads a stored bar table."""
-    bars = ticks.daily_bars(spark, d)
+    """Daily bars written once, then numbered: research reads a stored bar table (and stored series, which several joins use)."""
+    bars = materialize(ticks.daily_bars(spark, d), "bars")
     if macro:
-        bars = asof.enrich(materialize(bars, "bars"), ticks.macro(spark, d))
-    return number_bars(materialize(bars, "bars"))
+        bars = materialize(asof.enrich(bars, materialize(ticks.macro(spark, d), "macro")), "bars")
+    return number_bars(bars)
 
 
-def stored_pairs(spark, d):
-    return number_bars(materialize(pairs.pair_bars(materialize(ticks.daily_bars(spark, d), "bars")), "pairs"))
+def stored_pairs(spark, d, bars=None):
+    """Pair bars written once, then numbered; ``bars`` are stored daily bars, if there are any."""
+    bars = materialize(ticks.daily_bars(spark, d), "bars") if bars is None else bars
+    return number_bars(materialize(pairs.pair_bars(bars), "pairs"))
 
 
 # --- SQL building blocks -------------------------------------------------------------
